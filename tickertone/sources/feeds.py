@@ -77,18 +77,21 @@ def read_entries(documents: DataFrame, document: str = "document") -> DataFrame:
     An entry that does not parse is tried again with stray ampersands escaped.
     """
     keep = [c for c in documents.columns if c != document]
-    cut = documents.select(
-        *keep,
-        malformed(F.col(document)).alias("malformed"),
-        F.posexplode(F.regexp_extract_all(document, F.lit(_ENTRY_TAGS), F.lit(0))).alias("entry_no", "_text"),
+    texts = F.regexp_extract_all(document, F.lit(_ENTRY_TAGS), F.lit(0))
+    cut = (
+        documents.select(*keep, malformed(F.col(document)).alias("malformed"), texts.alias("_texts"))
+        .select(*keep, "malformed", F.posexplode("_texts").alias("entry_no", "_text"))
     )
-    strict = cut.withColumn("_strict", _parse(F.col("_text")))
+    # A generator's result is a column like any other to the optimizer, so each parse runs once
+    # instead of once per field and filter that reads it.
+    strict = cut.select("*", F.explode(F.array(_parse(F.col("_text")))).alias("_strict"))
     repaired = _parse(F.regexp_replace("_text", _BARE_AMPERSAND, "&amp;"))
-    parsed = strict.withColumn(
-        "_entry",
-        F.when(F.col("_strict._corrupt_record").isNull(), F.col("_strict")).otherwise(repaired),
-    )
+    sound = F.col("_strict._corrupt_record").isNull()
     entry = F.col("_entry")
+    parsed = strict.select(
+        *keep, "malformed", "entry_no",
+        F.explode(F.array(F.when(sound, F.col("_strict")).otherwise(repaired))).alias("_entry"),
+    )
     return parsed.where(entry["_corrupt_record"].isNull()).select(
         *keep,
         "malformed",

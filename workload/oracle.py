@@ -247,12 +247,13 @@ FROM articles""",
         ),
         "article_build": with_views(
             CLOCK, REGISTRY,
-            select=f"""SELECT page_id, trim({page_title}) AS title, substr({cleaned('html')}, 1, 6000) AS text,
-  CASE WHEN page_id % 6 <> 5 THEN r.url ELSE 'No Link Provided' END AS link, r.source, r.region,
-  CASE WHEN page_id % 3 = 0 THEN at ELSE at - INTERVAL 345 MINUTE END AS published_at, as_of AS ingested_at
-FROM (SELECT *, TIMESTAMP '2024-01-01' + to_hours(CAST(page_id % 1000 AS INTEGER)) AS at FROM pages) p
+            select=f"""SELECT page_id, trim({page_title}) AS title,
+  CASE WHEN page_id % 4 = 3 THEN '' ELSE substr({cleaned('html')}, 1, 6000) END AS text,
+  CASE WHEN page_id % 6 <> 5 THEN p.url ELSE 'No Link Provided' END AS link, r.source, r.region,
+  CASE WHEN page_id % 3 = 0 THEN moment ELSE moment - INTERVAL 345 MINUTE END AS published_at, as_of AS ingested_at
+FROM (SELECT *, TIMESTAMP '2024-01-01' + to_hours(CAST(page_id % 1000 AS INTEGER)) AS moment FROM pages) p
 JOIN registry r ON r.place = page_id % {len(FEEDS)}, clock
-WHERE page_id % 10 <> 7 AND trim({page_title}) <> 'No Title Provided'""".replace("substr(" + cleaned("html"), "substr(CASE WHEN page_id % 4 = 3 THEN '' ELSE " + cleaned("html") + " END"),
+WHERE page_id % 10 <> 7""",
         ),
         "script_language": "SELECT doc_id, CASE WHEN regexp_matches(text, '[À-ÿ]') THEN 'Accented' ELSE 'Plain' END AS language FROM documents",
         "first_occurrence": with_views(

@@ -144,11 +144,11 @@ def page_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.to_timestamp(F.lit("2024-01-01 00:00:00")) + F.make_dt_interval(hours=(page % 1000).cast("int"))
     kind = page % 4
     html = F.col("html")
-    return table(spark, sf_dir, "pages").select(
+    return table(spark, sf_dir, "pages").withColumnRenamed("url", "page_url").select(
         "page_id",
         F.element_at(feeds, (page % len(FEEDS) + 1).cast("int")).alias("url"),
         F.when(page % 10 != 7, F.concat(F.lit("\t "), F.regexp_extract("html", "<title>([^<]*)</title>", 1))).alias("title"),
-        F.when(page % 6 != 5, F.col("url")).alias("link"),
+        F.when(page % 6 != 5, F.col("page_url")).alias("link"),
         F.when(kind == 0, F.array(F.lit("<p>&nbsp;</p>"), html)).alias("content"),
         F.when(kind == 1, html).when(kind == 2, "").alias("summary"),
         F.when(kind == 2, html).alias("description"),
