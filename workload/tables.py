@@ -42,6 +42,9 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("lang") != "de", "Nepali")
         .alias("region"),
     )
+    # The join's own shuffle when both sides are large. When one is broadcast it still spreads the
+    # documents, whose few large row groups would otherwise be all the tasks there are.
+    docs = docs.repartition("d_id")
     events = table(spark, sf_dir, "events").withColumn("d_id", F.col("event_id") % total)
     seq, kind, at = F.col("event_id"), F.col("event_type"), F.col("ts").cast("timestamp")
     return events.join(docs, "d_id").select(
