@@ -54,7 +54,7 @@ def malformed(document: Column) -> Column:
     closing = F.concat(F.lit("</"), F.regexp_extract(bare, r"<([A-Za-z_][\w:.-]*)", 1))
     after = F.regexp_replace(F.call_function("substring_index", bare, closing, F.lit(-1)), r"^\s*>", "")
     trailing = bare.contains(closing) & ~blank(after)
-    return F.coalesce(broken, F.lit(True)) | F.coalesce(trailing, F.lit(True))
+    return document.isNull() | broken | trailing
 
 
 def _parse(entry: Column) -> Column:
