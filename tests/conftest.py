@@ -19,6 +19,8 @@ def spark():
         "local[8]",
         **{
             "spark.sql.shuffle.partitions": "4",
+            # Plan checks read whole scan lines.
+            "spark.sql.maxMetadataStringLength": "4000",
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
         },

@@ -90,3 +90,19 @@ def test_only_headlines_reach_python(spark):
     python = next(line for line in plan.splitlines() if "MapInArrow" in line or "PythonMapInArrow" in line)
     below = plan[plan.index(python):]
     assert "text#" not in below.split("\n", 2)[1]
+
+
+def test_wide_rows_move_once(spark, tmp_path):
+    articles(spark, [(i, f"h{i}", "t", "x") for i in range(9)]).write.parquet(str(tmp_path / "a"))
+    spark.createDataFrame([("h3",)], "title string").write.parquet(str(tmp_path / "s"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        fresh = score_new_articles(spark.read.parquet(str(tmp_path / "a")), spark.read.parquet(str(tmp_path / "s")), table_scorer)
+        lines = fresh._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    wide = [i for i, line in enumerate(lines) if "FileScan" in line and "text#" in line]
+    assert len(wide) == 1
+    above = "\n".join(lines[: wide[0]])
+    assert above.count("Exchange hashpartitioning") == 1

@@ -46,7 +46,7 @@ def run(spark, tmp_path, store, use=scorer, **options):
 
 
 def titles(store):
-    return sorted((r.title or "-") for r in store.articles().collect())
+    return sorted("-" if r.title is None else r.title for r in store.articles().collect())
 
 
 def test_dedup_across_batches_and_restarts(spark, tmp_path):
@@ -107,7 +107,8 @@ def test_lookup_reads_the_buckets_of_the_batch(spark, tmp_path):
     store.remember(spark.range(100).select(F.concat(F.lit("t"), F.col("id").cast("string")).alias("title")))
     found = store.indexed(spark.createDataFrame([("t5",), ("zz",)], "title string"))
     assert [r._title for r in found.collect()] == ["t5"]
-    scan = next(l for l in found._jdf.queryExecution().executedPlan().toString().splitlines() if "titles" in l and "FileScan" in l)
+    plan = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    scan = next(line for line in plan if "FileScan" in line and "/titles" in line)
     assert "bucket" in scan.split("PartitionFilters")[1].split("PushedFilters")[0]
 
 

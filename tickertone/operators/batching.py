@@ -38,10 +38,13 @@ def number_rows(rows: DataFrame, key: str, order: str = "seq", block_bits: int =
     )
 
 
-def pending_headlines(articles: DataFrame, order: str = "seq") -> DataFrame:
+def pending_headlines(articles: DataFrame, order: str = "seq", keep: tuple[str, ...] = ()) -> DataFrame:
     """The narrow rows that need a score: arrival number, region key and stripped headline."""
     return articles.select(
-        order, region_key(F.col("region")).alias("region_key"), headline(F.col("title")).alias("headline")
+        order,
+        *keep,
+        region_key(F.col("region")).alias("region_key"),
+        headline(F.col("title")).alias("headline"),
     ).where(F.col("headline") != "")
 
 
@@ -53,27 +56,26 @@ def assign_batches(
 ) -> DataFrame:
     """Batch number inside the region and 1-based item id inside the batch."""
     numbered = number_rows(pending, "region_key", order, block_bits)
-    position = F.col("position")
     return numbered.select(
         *pending.columns,
-        F.floor(position / size).cast("long").alias("batch_no"),
-        (position % size + 1).cast("int").alias("item_id"),
+        F.expr(f"position div {size}").alias("batch_no"),
+        (F.col("position") % size + 1).cast("int").alias("item_id"),
     )
 
 
-def form_requests(assigned: DataFrame) -> DataFrame:
-    """One row per request: region, batch number, arrival numbers and headlines in order.
+def form_requests(assigned: DataFrame, key: str = "seq") -> DataFrame:
+    """One row per request: region, batch number, keys and headlines of its articles in order.
 
     A group never holds more than one request, so no list can grow.
     """
-    items = F.sort_array(F.collect_list(F.struct("item_id", "seq", "headline")))
+    items = F.sort_array(F.collect_list(F.struct("item_id", F.col(key).alias("key"), "headline")))
     return (
         assigned.groupBy("region_key", "batch_no")
         .agg(items.alias("items"))
         .select(
             "region_key",
             "batch_no",
-            F.col("items.seq").alias("seqs"),
+            F.col("items.key").alias(f"{key}s"),
             F.col("items.headline").alias("headlines"),
         )
     )

@@ -9,21 +9,26 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tickertone.functions.sentiment import headline, language
 from tickertone.operators.batching import BLOCK_BITS, assign_batches, form_requests, pending_headlines
-from tickertone.operators.dedup import keyed_new
+from tickertone.operators.dedup import TITLE_KEY, keyed_new, with_title_key
 from tickertone.plans.scorers import Scorer
 from tickertone.schemas import HEADLINES_PER_REQUEST, NO_HEADLINE_MODEL, UNSCORED
 
-_SCORES = "seq bigint, score int, label string, model string"
-_SCORES_ARROW = pa.schema(
-    [("seq", pa.int64()), ("score", pa.int32()), ("label", pa.string()), ("model", pa.string())]
-)
+_SCORE_FIELDS = [("score", pa.int32()), ("label", pa.string()), ("model", pa.string())]
+_KEY_TYPES = {"seq": ("bigint", pa.int64()), "title": ("string", pa.string())}
 
 
-def run_scorer(requests: DataFrame, scorer: Scorer) -> DataFrame:
+def _layout(key: str) -> tuple[str, pa.Schema]:
+    sql, arrow = _KEY_TYPES[key]
+    return f"{key} {sql}, score int, label string, model string", pa.schema([(key, arrow), *_SCORE_FIELDS])
+
+
+def run_scorer(requests: DataFrame, scorer: Scorer, key: str = "seq") -> DataFrame:
     """Call the scorer once per request row; one output row per headline.
 
-    Only headlines and the region cross to Python, one Arrow batch of requests at a time.
+    Only headlines, their keys and the region cross to Python, one Arrow batch at a time.
     """
+    layout, arrow_layout = _layout(key)
+    keys = f"{key}s"
 
     def score_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -35,19 +40,36 @@ def run_scorer(requests: DataFrame, scorer: Scorer) -> DataFrame:
                         f"scorer gave {len(found)} results for {len(request['headlines'])} headlines"
                     )
                 rows += [
-                    {"seq": seq, "score": r["score"], "label": r["sentiment"], "model": r["sentiment_model"]}
-                    for seq, r in zip(request["seqs"], found)
+                    {key: k, "score": r["score"], "label": r["sentiment"], "model": r["sentiment_model"]}
+                    for k, r in zip(request[keys], found)
                 ]
-            yield pa.RecordBatch.from_pylist(rows, schema=_SCORES_ARROW)
+            yield pa.RecordBatch.from_pylist(rows, schema=arrow_layout)
+
+    return requests.select("region_key", keys, "headlines").mapInArrow(score_batches, layout)
+
 
-    return requests.select("region_key", "seqs", "headlines").mapInArrow(score_batches, _SCORES)
+def score_requests(
+    articles: DataFrame,
+    scorer: Scorer,
+    key: str = "seq",
+    size: int = HEADLINES_PER_REQUEST,
+    tasks: int | None = None,
+    block_bits: int = BLOCK_BITS,
+) -> DataFrame:
+    """Scores by article key. ``tasks`` sets how many requests may run at once."""
+    keep = () if key == "seq" else (key,)
+    assigned = assign_batches(pending_headlines(articles, keep=keep), size=size, block_bits=block_bits)
+    if tasks:
+        # The grouping below reuses this partitioning, and AQE leaves its number of tasks alone.
+        assigned = assigned.repartition(tasks, "region_key", "batch_no")
+    return run_scorer(form_requests(assigned, key), scorer, key)
 
 
 def no_scores(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], _SCORES)
+    return spark.createDataFrame([], _layout("seq")[0])
 
 
-def merge_scores(articles: DataFrame, scores: DataFrame) -> DataFrame:
+def merge_scores(articles: DataFrame, scores: DataFrame, on: str | list[str] = "seq") -> DataFrame:
     """Articles with the five analysis columns; blank titles become unscored records."""
     text = headline(F.col("title"))
     empty = text == ""
@@ -56,7 +78,7 @@ def merge_scores(articles: DataFrame, scores: DataFrame) -> DataFrame:
         return F.when(empty, otherwise).otherwise(value)
 
     nothing = F.lit(None)
-    return articles.join(scores, "seq", "left").select(
+    return articles.join(scores, on, "left").select(
         *articles.columns,
         unless_blank(F.col("label"), F.lit(UNSCORED)).alias("sentiment"),
         unless_blank(F.col("score").cast("double"), nothing).alias("sentiment_score"),
@@ -66,21 +88,6 @@ def merge_scores(articles: DataFrame, scores: DataFrame) -> DataFrame:
     )
 
 
-def score_requests(
-    articles: DataFrame,
-    scorer: Scorer,
-    size: int = HEADLINES_PER_REQUEST,
-    tasks: int | None = None,
-    block_bits: int = BLOCK_BITS,
-) -> DataFrame:
-    """Scores by arrival number. ``tasks`` sets how many requests may run at once."""
-    assigned = assign_batches(pending_headlines(articles), size=size, block_bits=block_bits)
-    if tasks:
-        # The grouping below reuses this partitioning, and AQE leaves its number of tasks alone.
-        assigned = assigned.repartition(tasks, "region_key", "batch_no")
-    return run_scorer(form_requests(assigned), scorer)
-
-
 def score_articles(articles: DataFrame, scorer: Scorer, **options) -> DataFrame:
     """Score titled articles in regional requests; every input row comes back once.
 
@@ -93,7 +100,9 @@ def score_articles(articles: DataFrame, scorer: Scorer, **options) -> DataFrame:
 def score_new_articles(articles: DataFrame, stored: DataFrame, scorer: Scorer, **options) -> DataFrame:
     """Dedup within the articles and against the store, then score what is new.
 
-    Dedup comes first because Catalyst does not move a Python call past a join.
+    Dedup comes first because Catalyst does not move a Python call past a join. New titles are
+    unique, so scores come back by title: the wide rows are spread by title already and stay put.
     """
-    fresh = keyed_new(articles, stored).drop("_title", "_untitled")
-    return score_articles(fresh, scorer, **options)
+    fresh = keyed_new(articles, stored)
+    scores = with_title_key(score_requests(fresh, scorer, key="title", **options)).drop("title")
+    return merge_scores(fresh, scores, TITLE_KEY).drop(*TITLE_KEY)

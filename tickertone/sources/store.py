@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tickertone.functions.sentiment import feed_of
 from tickertone.operators.dedup import TITLE_KEY, title_keys
-from tickertone.operators.sizes import broadcast_within
 from tickertone.schemas import SCORED
 
 BUCKETS = 64
@@ -80,16 +79,24 @@ class ScoredStore:
             .parquet(self.titles_path)
         )
 
-    def indexed(self, batch: DataFrame) -> DataFrame:
-        """Title keys of the batch found in the index; reads only the buckets they fall in."""
-        wanted = self._bucketed(title_keys(batch))
-        touched = [row[0] for row in wanted.select("bucket").distinct().collect()]  # <= buckets
-        wanted = broadcast_within(wanted, BROADCAST_TITLES)
-        found = self.titles().where(F.col("bucket").isin(touched))
-        return found.join(wanted, ["bucket", *TITLE_KEY], "left_semi").select(*TITLE_KEY).distinct()
+    def indexed(self, batch: DataFrame) -> DataFrame | None:
+        """Title keys of the batch found in the index, None for a batch without rows.
 
-    def replayed(self, batch: DataFrame) -> DataFrame:
-        """Title keys of the batch already among the articles of an earlier try of the same batch.
+        Reads only the buckets the titles fall in. The batch titles are broadcast when they are
+        few; the index never is.
+        """
+        wanted = self._bucketed(title_keys(batch))
+        size = wanted.agg(F.count("*").alias("titles"), F.collect_set("bucket").alias("buckets")).first()
+        if not size["titles"]:
+            return None
+        found = self.titles().where(F.col("bucket").isin(size["buckets"]))  # at most all buckets
+        few = size["titles"] <= BROADCAST_TITLES
+        hits = found.join(F.broadcast(wanted) if few else wanted, ["bucket", *TITLE_KEY], "left_semi")
+        return hits.select(*TITLE_KEY).distinct()
+
+    def replayed(self, batch: DataFrame) -> DataFrame | None:
+        """Title keys of the batch already among the articles of an earlier try of the same batch,
+        None for a batch without rows.
 
         A try that failed after its articles were written but before its titles were leaves no
         trace in the index. Its rows carry the same publish days and ingest times as now, so only
@@ -97,9 +104,12 @@ class ScoredStore:
         """
         day, at = F.to_date("published_at"), F.col("ingested_at")
         span = batch.agg(
+            F.count("*").alias("rows"),
             F.min(day).alias("day_from"), F.max(day).alias("day_to"),
             F.min(at).alias("at_from"), F.max(at).alias("at_to"),
         ).first()
+        if not span["rows"]:
+            return None
 
         def inside(name: str, low, high):
             column = F.col(name)
@@ -109,5 +119,6 @@ class ScoredStore:
             inside("published_date", span["day_from"], span["day_to"])
             & inside("ingested_at", span["at_from"], span["at_to"])
         )
-        wanted = broadcast_within(title_keys(batch), BROADCAST_TITLES)
-        return title_keys(earlier).join(wanted, TITLE_KEY, "left_semi")
+        wanted = title_keys(batch)
+        few = span["rows"] <= BROADCAST_TITLES
+        return title_keys(earlier).join(F.broadcast(wanted) if few else wanted, TITLE_KEY, "left_semi")

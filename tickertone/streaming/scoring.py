@@ -32,14 +32,14 @@ def process_batch(batch: DataFrame, batch_id: int, store: ScoredStore, scorer: S
     articles = with_arrival(batch, batch_id).persist()
     unknown = fresh = None
     try:
-        if articles.isEmpty():
+        known = store.indexed(articles)
+        if known is None:
             return
-        first = keyed_first(articles)
-        unknown = first.join(store.indexed(articles), TITLE_KEY, "left_anti").drop(*TITLE_KEY).persist()
-        if unknown.isEmpty():
+        unknown = keyed_first(articles).join(known, TITLE_KEY, "left_anti").drop(*TITLE_KEY).persist()
+        replayed = store.replayed(unknown)
+        if replayed is None:
             return
-        keyed = with_title_key(unknown)
-        fresh = keyed.join(store.replayed(unknown), TITLE_KEY, "left_anti").drop(*TITLE_KEY).persist()
+        fresh = with_title_key(unknown).join(replayed, TITLE_KEY, "left_anti").drop(*TITLE_KEY).persist()
         if not fresh.isEmpty():
             store.append(score_articles(fresh, scorer, **options))
         store.remember(unknown)
