@@ -10,9 +10,10 @@ from tickertone.plans.scorers import label_of
 from tickertone.sources.feeds import read_feed_files
 from tickertone.sources.registry import FEEDS, default_registry
 from tickertone.sources.store import ScoredStore
-from tickertone.sources.topic import decode_messages, encode_messages, read_topic_files
+from tickertone.sources.titles import TitleIndex
+from tickertone.sources.topic import decode_messages, encode_messages, read_topic_files, write_topic_files
 from tickertone.streaming.live import bucket_counts, start_refresh, write_panels
-from tickertone.streaming.publishing import article_messages, start_publishing, unsent
+from tickertone.streaming.publishing import feed_articles, publish_batch, start_publishing, unsent
 from tickertone.streaming.scoring import process_batch, start_scoring
 from test_feeds import RSS, TRAILING
 
@@ -59,7 +60,7 @@ def test_dedup_across_batches_and_restarts(spark, tmp_path):
     assert titles(store) == ["", "-", "a", "b", "c"]
     assert [r.text for r in store.articles().where("title = 'a'").collect()] == ["first"]
     assert store.articles().select("seq").distinct().count() == 5
-    assert store.titles().count() == 5
+    assert store.titles.read().count() == 5
 
 
 def test_fresh_checkpoint_reads_all_but_stores_nothing_twice(spark, tmp_path):
@@ -85,15 +86,15 @@ def test_replay_after_a_stop_between_the_two_writes(spark, tmp_path):
     store = ScoredStore(spark, str(tmp_path / "store"), buckets=4)
     rows = [article("a"), article("b", published=None), article(None, ingested=None), article("c", published=NOW - timedelta(days=90))]
     batch = spark.createDataFrame(rows, ARTICLE)
-    remember, store.remember = store.remember, lambda batch: (_ for _ in ()).throw(RuntimeError("lost"))
+    add, store.titles.add = store.titles.add, lambda batch: (_ for _ in ()).throw(RuntimeError("lost"))
     with pytest.raises(RuntimeError, match="lost"):
         process_batch(batch, 7, store, scorer)
-    assert titles(store) == ["-", "a", "b", "c"] and store.titles().count() == 0
-    store.remember = remember
+    assert titles(store) == ["-", "a", "b", "c"] and store.titles.read().count() == 0
+    store.titles.add = add
     process_batch(batch, 7, store, failing)  # nothing is left to score
-    assert titles(store) == ["-", "a", "b", "c"] and store.titles().count() == 4
+    assert titles(store) == ["-", "a", "b", "c"] and store.titles.read().count() == 4
     process_batch(batch, 7, store, failing)
-    assert store.articles().count() == 4 and store.titles().count() == 4
+    assert store.articles().count() == 4 and store.titles.read().count() == 4
 
 
 def test_empty_batch_does_nothing(spark, tmp_path):
@@ -103,9 +104,9 @@ def test_empty_batch_does_nothing(spark, tmp_path):
 
 
 def test_lookup_reads_the_buckets_of_the_batch(spark, tmp_path):
-    store = ScoredStore(spark, str(tmp_path / "store"), buckets=16)
-    store.remember(spark.range(100).select(F.concat(F.lit("t"), F.col("id").cast("string")).alias("title")))
-    found = store.indexed(spark.createDataFrame([("t5",), ("zz",)], "title string"))
+    index = TitleIndex(spark, str(tmp_path / "titles"), buckets=16)
+    index.add(spark.range(100).select(F.concat(F.lit("t"), F.col("id").cast("string")).alias("title")))
+    found = index.find(spark.createDataFrame([("t5",), ("zz",)], "title string"))
     assert [r._title for r in found.collect()] == ["t5"]
     plan = found._jdf.queryExecution().executedPlan().toString().splitlines()
     scan = next(line for line in plan if "FileScan" in line and "/titles" in line)
@@ -129,10 +130,13 @@ def test_feeds_to_topic_to_store(spark, tmp_path):
     folder.mkdir(parents=True)
     (folder / "a.xml").write_text(RSS)
 
+    sent = TitleIndex(spark, str(tmp_path / "sent_titles"), buckets=2)
+
     def publish_pass():
         documents = read_feed_files(spark, str(tmp_path / "feeds"), stream=True, max_files=1)
-        messages = article_messages(documents, default_registry(spark), as_of=NOW)
-        start_publishing(messages, str(tmp_path / "sent"), path=str(tmp_path / "topic"), trigger={"availableNow": True}).awaitTermination()
+        articles = feed_articles(documents, default_registry(spark), NOW)
+        to_files = lambda messages: write_topic_files(messages, str(tmp_path / "topic"))
+        start_publishing(articles, sent, to_files, str(tmp_path / "sent"), {"availableNow": True}).awaitTermination()
 
     publish_pass()
     first = decode_messages(spark.read.text(str(tmp_path / "topic")))
@@ -148,6 +152,23 @@ def test_feeds_to_topic_to_store(spark, tmp_path):
     assert got["Kept story"] == ("Neutral", "Onlinekhabar", "Nepali") and got[""][0] == "Unscored" and len(got) == 5
 
 
+def test_titles_count_as_sent_after_the_send(spark, tmp_path):
+    sent = TitleIndex(spark, str(tmp_path / "titles"), buckets=2)
+    batch = spark.createDataFrame([article("a"), article("a"), article("b")], ARTICLE)
+
+    def down(messages):
+        raise RuntimeError("broker down")
+
+    with pytest.raises(RuntimeError, match="broker down"):
+        publish_batch(batch, 0, sent, down)
+    got = []
+    keep = lambda messages: got.extend(r.title for r in decode_messages(messages).collect())
+    publish_batch(batch, 0, sent, keep)
+    publish_batch(batch, 1, sent, keep)
+    publish_batch(batch.where("false"), 2, sent, keep)
+    assert sorted(got) == ["a", "b"]
+
+
 def test_bounded_title_memory(spark, tmp_path):
     publish(spark, tmp_path / "topic", [article("a"), article("a"), article("b")])
     rows = decode_messages(read_topic_files(spark, str(tmp_path / "topic")))

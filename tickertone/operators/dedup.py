@@ -53,9 +53,9 @@ def new_articles(articles: DataFrame, stored: DataFrame, order: str = "seq") ->
 def stored_hits(stored: DataFrame, batch: DataFrame) -> DataFrame:
     """Titles of the batch that the store already has, one row each.
 
-    The batch titles are the small side of the semi join; callers that know their number pass
-    them through ``broadcast_within`` first.
+    Distinct titles meet distinct titles, so copies on either side fold before they are shuffled.
+    When the batch is small enough to broadcast, Catalyst moves the semi join below the distinct
+    and the store is not shuffled at all.
     """
-    wanted = title_keys(batch)
-    hits = with_title_key(stored.select("title")).join(wanted, TITLE_KEY, "left_semi")
-    return hits.select("title").distinct()
+    hits = title_keys(stored).join(title_keys(batch), TITLE_KEY, "left_semi")
+    return hits.select(F.when(~F.col("_untitled"), F.col("_title")).alias("title"))

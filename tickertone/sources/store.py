@@ -1,8 +1,7 @@
 """Append-only store of scored articles, with a title index for dedup lookups.
 
 ``articles/`` is partitioned by feed and publish date, so panels read recent days of one feed.
-``titles/`` holds one row per stored title, partitioned by a hash bucket of the title, so a
-micro-batch reads the buckets its titles fall in and not the articles.
+``titles/`` is the index of stored titles.
 """
 
 from __future__ import annotations
@@ -12,9 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from tickertone.functions.sentiment import feed_of
 from tickertone.operators.dedup import TITLE_KEY, title_keys
 from tickertone.schemas import SCORED
-
-BUCKETS = 64
-BROADCAST_TITLES = 100_000  # at most about 20 MB of headlines
+from tickertone.sources.titles import BROADCAST_TITLES, BUCKETS, TitleIndex
 
 _ARTICLES = T.StructType(
     [
@@ -24,30 +21,17 @@ _ARTICLES = T.StructType(
         T.StructField("published_date", T.DateType()),
     ]
 )
-_TITLES = T.StructType(
-    [
-        T.StructField("_title", T.StringType()),
-        T.StructField("_untitled", T.BooleanType()),
-        T.StructField("bucket", T.IntegerType()),
-    ]
-)
-
 
 class ScoredStore:
     def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
-        self.spark, self.buckets = spark, buckets
-        self.articles_path, self.titles_path = f"{root}/articles", f"{root}/titles"
+        self.spark, self.articles_path = spark, f"{root}/articles"
+        self.titles = TitleIndex(spark, f"{root}/titles", buckets)
         empty = spark.createDataFrame([], _ARTICLES)
         empty.write.mode("ignore").partitionBy("feed", "published_date").parquet(self.articles_path)
-        empty = spark.createDataFrame([], _TITLES)
-        empty.write.mode("ignore").partitionBy("bucket").parquet(self.titles_path)
 
     def articles(self) -> DataFrame:
         return self.spark.read.schema(_ARTICLES).parquet(self.articles_path)
 
-    def titles(self) -> DataFrame:
-        return self.spark.read.schema(_TITLES).parquet(self.titles_path)
-
     def append(self, scored: DataFrame) -> None:
         """Add scored articles. The rebalance splits a hot day over tasks and joins small ones."""
         laid_out = scored.select(
@@ -64,36 +48,6 @@ class ScoredStore:
             .parquet(self.articles_path)
         )
 
-    def _bucketed(self, keys: DataFrame) -> DataFrame:
-        bucket = F.pmod(F.xxhash64(*TITLE_KEY), F.lit(self.buckets)).cast("int")
-        return keys.withColumn("bucket", bucket)
-
-    def remember(self, batch: DataFrame) -> None:
-        """Put the titles of a batch into the index."""
-        (
-            self._bucketed(title_keys(batch))
-            .hint("rebalance", "bucket")
-            .sortWithinPartitions("bucket", *TITLE_KEY)
-            .write.mode("append")
-            .partitionBy("bucket")
-            .parquet(self.titles_path)
-        )
-
-    def indexed(self, batch: DataFrame) -> DataFrame | None:
-        """Title keys of the batch found in the index, None for a batch without rows.
-
-        Reads only the buckets the titles fall in. The batch titles are broadcast when they are
-        few; the index never is.
-        """
-        wanted = self._bucketed(title_keys(batch))
-        size = wanted.agg(F.count("*").alias("titles"), F.collect_set("bucket").alias("buckets")).first()
-        if not size["titles"]:
-            return None
-        found = self.titles().where(F.col("bucket").isin(size["buckets"]))  # at most all buckets
-        few = size["titles"] <= BROADCAST_TITLES
-        hits = found.join(F.broadcast(wanted) if few else wanted, ["bucket", *TITLE_KEY], "left_semi")
-        return hits.select(*TITLE_KEY).distinct()
-
     def replayed(self, batch: DataFrame) -> DataFrame | None:
         """Title keys of the batch already among the articles of an earlier try of the same batch,
         None for a batch without rows.

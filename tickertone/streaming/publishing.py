@@ -2,30 +2,83 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from collections.abc import Callable
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from tickertone.operators.dedup import TITLE_KEY, keyed_first
 from tickertone.plans.articles import build_articles, tag_entries
 from tickertone.sources.feeds import keep_usable, read_entries
-from tickertone.sources.topic import TOPIC, encode_messages
+from tickertone.sources.titles import TitleIndex
+from tickertone.sources.topic import encode_messages
+from tickertone.streaming.arrival import with_arrival
+
+
+def feed_articles(documents: DataFrame, registry: DataFrame, as_of: datetime | None = None) -> DataFrame:
+    """Article records of feed documents; works on a batch and on a stream."""
+    return build_articles(tag_entries(keep_usable(read_entries(documents)), registry), as_of)
+
+
+def publish_batch(
+    batch: DataFrame, batch_id: int, sent: TitleIndex, write: Callable[[DataFrame], None]
+) -> None:
+    """Send the first article of each title not sent before.
+
+    Copies fold before the shuffle, so a title that fills a third of a batch is one row per task.
+    Titles count as sent once ``write`` has returned; a batch that failed is sent again.
+    """
+    articles = with_arrival(batch, batch_id).persist()
+    fresh = None
+    try:
+        known = sent.find(articles)
+        if known is None:
+            return
+        fresh = keyed_first(articles).join(known, TITLE_KEY, "left_anti").drop(*TITLE_KEY).persist()
+        if fresh.isEmpty():
+            return
+        write(encode_messages(fresh))
+        sent.add(fresh)
+    finally:
+        for frame in (articles, fresh):
+            if frame is not None:
+                frame.unpersist()
+
+
+def start_publishing(
+    articles: DataFrame,
+    sent: TitleIndex,
+    write: Callable[[DataFrame], None],
+    checkpoint: str,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Publish a stream of articles. ``write`` is a sink such as ``write_topic`` with its address."""
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        publish_batch(batch, batch_id, sent, write)
+
+    return (
+        articles.writeStream.outputMode("append")
+        .foreachBatch(process)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"processingTime": "60 seconds"}))
+        .start()
+    )
 
 
 def unsent(articles: DataFrame, horizon: str | None = None) -> DataFrame:
-    """Each title once over the life of the query.
+    """Each title once over the life of a query, remembered in the checkpointed state store.
 
-    Titles are kept in the checkpointed state store, spread by title. Without ``horizon`` they
-    are kept for good; with it, a title may come back after that long, and state stays bounded.
+    For streams that go on to other streaming operators. Without ``horizon`` titles are kept for
+    good; with it, a title may come back after that long and state stays bounded. All copies of a
+    title go to one state partition; ``publish_batch`` has no such limit.
     """
     if horizon is None:
         return articles.dropDuplicates(["title"])
     return articles.withWatermark("ingested_at", horizon).dropDuplicatesWithinWatermark(["title"])
 
 
-def article_messages(documents: DataFrame, registry: DataFrame, horizon: str | None = None, as_of=None) -> DataFrame:
-    entries = keep_usable(read_entries(documents))
-    return encode_messages(unsent(build_articles(tag_entries(entries, registry), as_of), horizon))
-
-
 def use_large_state(spark: SparkSession) -> None:
     """Title state outgrows the heap at scale; RocksDB keeps it on disk with changelog checkpoints."""
     spark.conf.set(
@@ -33,20 +86,3 @@ def use_large_state(spark: SparkSession) -> None:
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     )
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
-
-
-def start_publishing(
-    messages: DataFrame,
-    checkpoint: str,
-    path: str | None = None,
-    servers: str | None = None,
-    topic: str = TOPIC,
-    trigger: dict | None = None,
-) -> StreamingQuery:
-    """Write messages to a topic, or to text files under ``path``."""
-    sink = messages.select(F.col("value")).writeStream.outputMode("append").option("checkpointLocation", checkpoint)
-    if servers:
-        sink = sink.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic)
-    else:
-        sink = sink.format("text").option("path", path)
-    return sink.trigger(**(trigger or {"processingTime": "60 seconds"})).start()

@@ -2,24 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from tickertone.operators.dedup import TITLE_KEY, keyed_first, with_title_key
 from tickertone.plans.scorers import Scorer
 from tickertone.plans.scoring import score_articles
 from tickertone.sources.store import ScoredStore
-from tickertone.sources.topic import OFFSET_BITS, decode_messages
-
-
-def with_arrival(batch: DataFrame, batch_id: int) -> DataFrame:
-    """Arrival number of sources that have none: batch, then task, then row inside the task.
-
-    The rows of a task are the same files in the same order whenever the task runs again.
-    """
-    if "seq" in batch.columns:
-        return batch
-    return batch.withColumn("seq", F.lit(batch_id << OFFSET_BITS).cast("long") + F.monotonically_increasing_id())
+from tickertone.sources.topic import decode_messages
+from tickertone.streaming.arrival import with_arrival
 
 
 def process_batch(batch: DataFrame, batch_id: int, store: ScoredStore, scorer: Scorer, **options) -> None:
@@ -32,7 +23,7 @@ def process_batch(batch: DataFrame, batch_id: int, store: ScoredStore, scorer: S
     articles = with_arrival(batch, batch_id).persist()
     unknown = fresh = None
     try:
-        known = store.indexed(articles)
+        known = store.titles.find(articles)
         if known is None:
             return
         unknown = keyed_first(articles).join(known, TITLE_KEY, "left_anti").drop(*TITLE_KEY).persist()
@@ -42,7 +33,7 @@ def process_batch(batch: DataFrame, batch_id: int, store: ScoredStore, scorer: S
         fresh = with_title_key(unknown).join(replayed, TITLE_KEY, "left_anti").drop(*TITLE_KEY).persist()
         if not fresh.isEmpty():
             store.append(score_articles(fresh, scorer, **options))
-        store.remember(unknown)
+        store.titles.add(unknown)
     finally:
         for frame in (articles, unknown, fresh):
             if frame is not None:

@@ -357,7 +357,7 @@ def stream_scored_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = ScoredStore(spark, f"{run}/store", buckets=8)
     stored = first_per_title(tables.stored_articles(rows, clock))
     store.append(score_articles(stored, fixture_scorer))
-    store.remember(stored)
+    store.titles.add(stored)
     encode_messages(tables.arriving_articles(rows, clock)).write.text(f"{run}/topic")
     stream = start_scoring(
         read_topic_files(spark, f"{run}/topic", max_files=4), store, fixture_scorer, f"{run}/checkpoint",
