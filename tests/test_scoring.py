@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickertone.plans.report import batch_report, write_report
-from tickertone.plans.scorers import label_of
+from tickertone.plans.scorers import Providers, credential, label_of
 from tickertone.plans.scoring import score_articles, score_new_articles
+from tickertone.schemas import FALLBACK_MODEL, PRIMARY_MODEL
 
 SCORES = {"h0": -100, "h1": -60, "h2": -10, "h3": 20, "h4": 50, "h5": 80, "h6": 100}
 
@@ -106,3 +107,38 @@ def test_wide_rows_move_once(spark, tmp_path):
     assert len(wide) == 1
     above = "\n".join(lines[: wide[0]])
     assert above.count("Exchange hashpartitioning") == 1
+
+
+def test_providers_get_ready_requests(spark):
+    def answer(payload):
+        content = payload.get("messages", [{}, {}])[1].get("content") or payload["contents"][0]["parts"][0]["text"]
+        items = json.loads(content.split("Headlines:\n")[1])
+        return json.dumps({"results": [{"id": i["id"], "score": len(i["headline"])} for i in reversed(items)]})
+
+    def primary(payload, suffix):
+        assert suffix in ("", "_NEPALI")
+        if suffix == "_NEPALI":
+            return {"success": "true", "result": {"response": "{}"}}
+        return json.dumps({"success": True, "result": {"response": answer(json.loads(payload))}})
+
+    def fallback(payload, suffix):
+        return {"candidates": [{"content": {"parts": [{"text": answer(json.loads(payload))}]}}]}
+
+    rows = [(i, "x" * (i + 17), "", region) for i, region in enumerate([None, "Nepali", None, "Nepali", None, None, None, None])]
+    got = score_articles(articles(spark, rows), Providers(primary, fallback)).collect()
+    assert {(r.seq, r.sentiment_score, r.sentiment_model) for r in got} == {
+        (i, float(i + 17), FALLBACK_MODEL if region else PRIMARY_MODEL) for i, _, _, region in rows
+    }
+
+    def down(payload, suffix):
+        return {"candidates": []}
+
+    with pytest.raises(Exception, match="primary scorer failed.*fallback scorer failed"):
+        score_articles(articles(spark, [(1, "x", "", "Nepali")]), Providers(primary, down)).collect()
+
+
+def test_credentials_by_suffix():
+    secrets = {"TOKEN": " a ", "TOKEN_NEPALI": "b"}
+    assert credential("TOKEN", "", secrets) == "a" and credential("TOKEN", "_NEPALI", secrets) == "b"
+    with pytest.raises(RuntimeError, match="KEY_NEPALI"):
+        credential("KEY", "_NEPALI", secrets)

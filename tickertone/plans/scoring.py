@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tickertone.functions.sentiment import headline, language
 from tickertone.operators.batching import BLOCK_BITS, assign_batches, form_requests, pending_headlines
 from tickertone.operators.dedup import TITLE_KEY, keyed_new, with_title_key
-from tickertone.plans.scorers import Scorer
+from tickertone.plans.requests import build_requests
+from tickertone.plans.scorers import Providers, Scorer, ask_providers
 from tickertone.schemas import HEADLINES_PER_REQUEST, NO_HEADLINE_MODEL, UNSCORED
 
 _SCORE_FIELDS = [("score", pa.int32()), ("label", pa.string()), ("model", pa.string())]
@@ -22,19 +23,29 @@ def _layout(key: str) -> tuple[str, pa.Schema]:
     return f"{key} {sql}, score int, label string, model string", pa.schema([(key, arrow), *_SCORE_FIELDS])
 
 
-def run_scorer(requests: DataFrame, scorer: Scorer, key: str = "seq") -> DataFrame:
+def run_scorer(requests: DataFrame, scorer: Scorer | Providers, key: str = "seq") -> DataFrame:
     """Call the scorer once per request row; one output row per headline.
 
-    Only headlines, their keys and the region cross to Python, one Arrow batch at a time.
+    Only headlines, their keys and the region cross to Python, one Arrow batch at a time;
+    ``Providers`` get the request bodies as well.
     """
     layout, arrow_layout = _layout(key)
     keys = f"{key}s"
+    columns = ["region_key", keys, "headlines"]
+    if isinstance(scorer, Providers):
+        requests = build_requests(requests)
+        columns += ["primary_payload", "fallback_payload", "credential_suffix"]
+        ask = ask_providers(scorer)
+    else:
+
+        def ask(request: dict) -> list[dict]:
+            return scorer(request["headlines"], request["region_key"] or None)
 
     def score_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[dict] = []
             for request in batch.to_pylist():
-                found = scorer(request["headlines"], request["region_key"] or None)
+                found = ask(request)
                 if len(found) != len(request["headlines"]):
                     raise RuntimeError(
                         f"scorer gave {len(found)} results for {len(request['headlines'])} headlines"
@@ -45,12 +56,12 @@ def run_scorer(requests: DataFrame, scorer: Scorer, key: str = "seq") -> DataFra
                 ]
             yield pa.RecordBatch.from_pylist(rows, schema=arrow_layout)
 
-    return requests.select("region_key", keys, "headlines").mapInArrow(score_batches, layout)
+    return requests.select(columns).mapInArrow(score_batches, layout)
 
 
 def score_requests(
     articles: DataFrame,
-    scorer: Scorer,
+    scorer: Scorer | Providers,
     key: str = "seq",
     size: int = HEADLINES_PER_REQUEST,
     tasks: int | None = None,
@@ -88,7 +99,7 @@ def merge_scores(articles: DataFrame, scores: DataFrame, on: str | list[str] = "
     )
 
 
-def score_articles(articles: DataFrame, scorer: Scorer, **options) -> DataFrame:
+def score_articles(articles: DataFrame, scorer: Scorer | Providers, **options) -> DataFrame:
     """Score titled articles in regional requests; every input row comes back once.
 
     Batching works on narrow rows (number, region, headline). The wide rows move once, for the
@@ -97,7 +108,7 @@ def score_articles(articles: DataFrame, scorer: Scorer, **options) -> DataFrame:
     return merge_scores(articles, score_requests(articles, scorer, **options))
 
 
-def score_new_articles(articles: DataFrame, stored: DataFrame, scorer: Scorer, **options) -> DataFrame:
+def score_new_articles(articles: DataFrame, stored: DataFrame, scorer: Scorer | Providers, **options) -> DataFrame:
     """Dedup within the articles and against the store, then score what is new.
 
     Dedup comes first because Catalyst does not move a Python call past a join. New titles are

@@ -16,6 +16,24 @@ SETTINGS = {
 }
 
 
+_MB = 1024 * 1024
+
+
+def settings_for(shuffle_bytes: int) -> dict[str, str]:
+    """Shuffle width for a job whose widest shuffle moves ``shuffle_bytes``.
+
+    AQE joins partitions that turn out small but cannot add any, so the start is about 128 MB each,
+    within what a driver can track.
+    """
+    width = min(max(shuffle_bytes // (128 * _MB), 200), 200_000)
+    return {
+        "spark.sql.shuffle.partitions": str(width),
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 * _MB),
+        "spark.sql.files.maxPartitionBytes": str(256 * _MB),
+    }
+
+
 def build_session(app_name: str = "tickertone", master: str | None = None, **extra: str) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
     if master:
