@@ -239,7 +239,7 @@ FROM (SELECT seq, title, text, region, {ANALYSIS} FROM scored) s""",
   CASE WHEN seq % 13 = 0 OR seq % 17 = 0 OR seq % 19 = 0 THEN NULL ELSE CAST(date_trunc('second', ingested_at) AS TIMESTAMP) END AS ingested_at
 FROM articles""",
         ),
-        "clean_markup": f"SELECT page_id, {cleaned('html')} AS text FROM pages",
+        "clean_text": f"SELECT page_id, {cleaned('html')} AS text FROM pages",
         "excerpt_cap": f"SELECT doc_id, substr(t, 1, 6000) AS text, CAST(length(substr(t, 1, 6000)) AS BIGINT) AS chars FROM (SELECT doc_id, {cleaned('text')} AS t FROM documents) d",
         "article_tagged": with_views(
             REGISTRY,
@@ -260,7 +260,7 @@ WHERE page_id % 10 <> 7""",
             ARTICLES,
             select="""SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY title ORDER BY seq) AS rn FROM articles) a WHERE rn = 1""",
         ),
-        "unseen_articles": from_fresh(select="SELECT * FROM fresh"),
+        "new_articles": from_fresh(select="SELECT * FROM fresh"),
         "score_batches": from_fresh(fresh_batches, select="SELECT seq, region_key, headline, batch_no, item_id FROM batches"),
         "score_batches_all": with_views(ARTICLES, all_batches, select="SELECT seq, region_key, headline, batch_no, item_id FROM batches"),
         "score_requests": from_fresh(fresh_batches, REQUESTS, select=payload_sql()),

@@ -56,10 +56,12 @@ def _settle(df: DataFrame) -> DataFrame:
 
 
 def query(build: Query) -> Query:
+    name = build.__name__.removesuffix("_query")
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return _settle(build(spark, sf_dir))
 
-    _REGISTERED[build.__name__] = run
+    _REGISTERED[name] = run
     return build
 
 
@@ -136,7 +138,7 @@ def article_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def clean_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
+def clean_text_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.table(spark, sf_dir, "pages").select("page_id", clean_text(F.col("html")).alias("text"))
 
 
@@ -176,7 +178,7 @@ def first_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def unseen_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+def new_articles_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     clock, rows = tables.as_of(spark, sf_dir), tables.articles(spark, sf_dir)
     return new_articles(tables.arriving_articles(rows, clock), tables.stored_articles(rows, clock))
 
