@@ -169,15 +169,35 @@ def test_titles_count_as_sent_after_the_send(spark, tmp_path):
     assert sorted(got) == ["a", "b"]
 
 
-def test_bounded_title_memory(spark, tmp_path):
-    publish(spark, tmp_path / "topic", [article("a"), article("a"), article("b")])
-    rows = decode_messages(read_topic_files(spark, str(tmp_path / "topic")))
-    query = (
-        unsent(rows, "1 hour").select("title").writeStream.format("memory").queryName("bounded_titles")
-        .option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    assert sorted(r.title for r in spark.table("bounded_titles").collect()) == ["a", "b"]
+@pytest.mark.parametrize("horizon, spread", [("1 hour", 1), ("1 hour", 4), (None, 4)])
+def test_title_memory(spark, tmp_path, horizon, spread):
+    publish(spark, tmp_path / "topic", [article("a"), article("a"), article("b")], [article("a"), article(None), article("c")])
+
+    def kept():
+        rows = decode_messages(read_topic_files(spark, str(tmp_path / "topic"), max_files=1))
+        query = (
+            unsent(rows, horizon, spread).select("title").writeStream.format("parquet").option("path", str(tmp_path / "out"))
+            .option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+        return sorted(str(r.title) for r in spark.read.schema("title string").parquet(str(tmp_path / "out")).collect())
+
+    assert kept() == ["None", "a", "b", "c"]
+    publish(spark, tmp_path / "topic", [article("b"), article("d")])
+    assert kept() == ["None", "a", "b", "c", "d"]
+
+
+def test_compaction_keeps_everything(spark, tmp_path):
+    store = ScoredStore(spark, str(tmp_path / "store"), buckets=2)
+    for i in range(3):
+        process_batch(spark.createDataFrame([article(f"t{i}"), article("same"), article(None)], ARTICLE), i, store, scorer)
+    store.titles.add(store.articles())  # index rows may repeat
+    copy = store.compact_to(str(tmp_path / "copy"))
+    assert titles(copy) == titles(store) == ["-", "same", "t0", "t1", "t2"]
+    assert sorted(map(tuple, copy.articles().collect())) == sorted(map(tuple, store.articles().collect()))
+    assert copy.titles.read().count() == 5 and len(copy.articles().inputFiles()) < len(store.articles().inputFiles())
+    process_batch(spark.createDataFrame([article("t1"), article("new")], ARTICLE), 3, copy, scorer)
+    assert titles(copy) == ["-", "new", "same", "t0", "t1", "t2"]
 
 
 @pytest.mark.parametrize("unit, spec", [("hour", grids.HOURLY), ("day", grids.DAILY)])

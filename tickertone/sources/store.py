@@ -48,6 +48,13 @@ class ScoredStore:
             .parquet(self.articles_path)
         )
 
+    def compact_to(self, root: str) -> ScoredStore:
+        """A copy with few files per day and feed, for the next start of a stream."""
+        copy = ScoredStore(self.spark, root, self.titles.buckets)
+        copy.append(self.articles())
+        self.titles.compact_to(copy.titles.path)
+        return copy
+
     def replayed(self, batch: DataFrame) -> DataFrame | None:
         """Title keys of the batch already among the articles of an earlier try of the same batch,
         None for a batch without rows.

@@ -35,10 +35,9 @@ class TitleIndex:
         bucket = F.pmod(F.xxhash64(*TITLE_KEY), F.lit(self.buckets)).cast("int")
         return keys.withColumn("bucket", bucket)
 
-    def add(self, batch: DataFrame) -> None:
-        """Put the titles of a batch into the index."""
+    def _append(self, keys: DataFrame) -> None:
         (
-            self._bucketed(title_keys(batch))
+            self._bucketed(keys)
             .hint("rebalance", "bucket")
             .sortWithinPartitions("bucket", *TITLE_KEY)
             .write.mode("append")
@@ -46,6 +45,20 @@ class TitleIndex:
             .parquet(self.path)
         )
 
+    def add(self, batch: DataFrame) -> None:
+        """Put the titles of a batch into the index."""
+        self._append(title_keys(batch))
+
+    def compact_to(self, path: str) -> TitleIndex:
+        """A copy with one row per title and few files per bucket, for the next start of a stream.
+
+        Every micro-batch adds a file per bucket. The stream stops, the copy is written, and the
+        stream starts again on the copy with the same checkpoint.
+        """
+        copy = TitleIndex(self.spark, path, self.buckets)
+        copy._append(self.read().select(*TITLE_KEY).distinct())
+        return copy
+
     def find(self, batch: DataFrame) -> DataFrame | None:
         """Title keys of the batch found in the index, None for a batch without rows.
 

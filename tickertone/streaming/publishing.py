@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tickertone.operators.dedup import TITLE_KEY, keyed_first
@@ -67,16 +67,25 @@ def start_publishing(
     )
 
 
-def unsent(articles: DataFrame, horizon: str | None = None) -> DataFrame:
+def unsent(articles: DataFrame, horizon: str | None = None, spread: int = 1) -> DataFrame:
     """Each title once over the life of a query, remembered in the checkpointed state store.
 
     For streams that go on to other streaming operators. Without ``horizon`` titles are kept for
-    good; with it, a title may come back after that long and state stays bounded. All copies of a
-    title go to one state partition; ``publish_batch`` has no such limit.
+    good; with it, a title may come back after that long and state stays bounded. ``spread`` over
+    one first drops the copies each share of the tasks has seen, so that a title with very many
+    copies is not one state partition's work; it costs a second shuffle and up to that many state
+    rows per title.
     """
-    if horizon is None:
-        return articles.dropDuplicates(["title"])
-    return articles.withWatermark("ingested_at", horizon).dropDuplicatesWithinWatermark(["title"])
+    if horizon is not None:
+        articles = articles.withWatermark("ingested_at", horizon)
+
+    def once(rows: DataFrame, keys: list[str]) -> DataFrame:
+        return rows.dropDuplicates(keys) if horizon is None else rows.dropDuplicatesWithinWatermark(keys)
+
+    if spread > 1:
+        share = F.pmod(F.spark_partition_id(), F.lit(spread))
+        articles = once(articles.withColumn("_share", share), ["title", "_share"]).drop("_share")
+    return once(articles, ["title"])
 
 
 def use_large_state(spark: SparkSession) -> None:
