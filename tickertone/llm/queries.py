@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tickertone.llm import bpe, quality, topk
+from tickertone.llm import bpe, linededup, mixing, quality, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,18 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts.select(F.col("id").alias("doc_id"), *[F.col("measures")[c].alias(c) for c in counts], "kept")
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raked token weight, probability and choice of each document."""
+    sampled = mixing.with_sampling(_table(spark, sf_dir, "documents"))
+    return sampled.select("doc_id", "source", "lang", "n_tokens", "weight", "probability", "sampled")
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records read back from the normalised archives of all pages."""
+    records = warc.read_archives(warc.archive_pages(spark, _table(spark, sf_dir, "pages")))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number and digests of the ids and of the decoded text of each document."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -32,6 +44,11 @@ def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document without the lines that many sources show."""
+    return linededup.without_boilerplate(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [f for name, f in globals().items() if name.startswith("op") and callable(f)]
     return {f.__name__: f for f in sorted(found, key=lambda f: int(f.__name__[2:].split("_")[0]))}
