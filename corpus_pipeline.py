@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tickertone.llm import bpe, quality
+from tickertone.llm import bpe, linededup, mixing, neardup, quality
 from tickertone.llm.shared import shared_folder
 
 
@@ -14,6 +14,28 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines of many sources that another document keeps; those left without a word go.
+
+    n_chars is counted anew where lines went.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    cleaned = linededup.without_boilerplate(docs)
+    left = cleaned.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    counted = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return left.withColumn("n_chars", counted).select(*columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of near duplicates."""
+    return neardup.first_of_each_group(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample of documents whose tokens meet the target weights."""
+    return mixing.mixed_sample(docs)
+
+
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document with its token ids and the text that they decode to."""
     return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -21,10 +43,13 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("near duplicates", near_duplicates),
+    ("mixing", mix),
     ("bpe", token_ids),
 ]
 
-#: Sketches, MinHash, sampling hashes and BPE have no SQL form; tests hold the stages against brute force.
+#: MinHash, sampling hashes and BPE have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
@@ -33,7 +58,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{folder}/{number}")
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{number}")
         docs = spark.read.parquet(f"{folder}/{number}")
     return docs
