@@ -87,7 +87,7 @@ class FMIndex:
         while size <= window:
             last = ranks[-1]
             following = np.zeros(n, np.int64)
-            following[: n - size] = last[size:] + 1
+            following[: max(n - size, 0)] = last[size:] + 1
             _, rank = np.unique(last * (int(last.max()) + 2) + following, return_inverse=True)
             ranks.append(rank)
             size *= 2

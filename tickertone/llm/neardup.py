@@ -31,7 +31,7 @@ def band_shape(threshold: float, recall: float = RECALL, max_hashes: int = MAX_H
     """Bands and rows a band: the most rows, so the fewest false candidates, that reach recall at the threshold within max_hashes."""
     best = None
     for rows in range(1, max_hashes + 1):
-        bands = math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows)) if threshold < 1 else 1
+        bands = math.ceil(math.log(1 - recall) / math.log1p(-(threshold**rows))) if threshold < 1 else 1
         if bands * rows <= max_hashes:
             best = bands, rows
     if not best:

@@ -26,7 +26,7 @@ from tickertone.llm.text import pieces
 #: Labelled rows that the models are fitted on: those with the least hash of the id.
 MAX_TRAINING_ROWS = 20_000
 #: Tokens that the classifier sees, voters, and rows that a token must stand in.
-MAX_FEATURES, MAX_VOTERS, MIN_ROWS = 4096, 400, 5
+MAX_FEATURES, MAX_VOTERS, MIN_ROWS, MIN_ERRORS = 4096, 400, 5, 2
 #: Share of toxic rows among those with a token, smoothed, from which on it votes.
 MIN_PRECISION = 0.9
 #: Voters that a toxic row may stand for before it counts no more in the choice of others.
@@ -93,10 +93,11 @@ def token_counts(rows: DataFrame) -> DataFrame:
 
 
 def chosen_tokens(counts: DataFrame, n_toxic: int, n_clean: int) -> list[tuple[str, int, int]]:
-    """The MAX_FEATURES tokens whose frequency differs most between the classes, in standard errors."""
+    """The MAX_FEATURES tokens whose frequency differs most between the classes, in standard errors, MIN_ERRORS at least."""
     a, b = (F.col("toxic") + 0.5) / (n_toxic + 1), (F.col("clean") + 0.5) / (n_clean + 1)
     error = F.sqrt(a * (1 - a) / n_toxic + b * (1 - b) / n_clean)
-    best = counts.where(F.col("toxic") + F.col("clean") >= MIN_ROWS).orderBy(F.desc(F.abs(a - b) / error), F.length("token"), "token").limit(MAX_FEATURES)
+    counts = counts.where(F.col("toxic") + F.col("clean") >= MIN_ROWS).withColumn("errors", F.abs(a - b) / error)
+    best = counts.where(F.col("errors") >= MIN_ERRORS).orderBy(F.desc("errors"), F.length("token"), "token").limit(MAX_FEATURES)
     return [(r.token, r.toxic, r.clean) for r in best.collect()]
 
 
