@@ -32,9 +32,9 @@ class Targets:
     languages: tuple[str, ...] = ("en", "de", "fr", "es")
     patterns: dict[str, str] = field(
         default_factory=lambda: {
-            "legal": r"(?i)\b(licen[sc]e[ds]?|copyright|all rights reserved)\b",
-            "contact": r"[\w.]+@[\w.]+\.\w|\+\d[\d ()-]{6,}",
-            "code": r"[{};=]|\bdef \w+\(",
+            "legal": r"[Ll]icen[sc]e|[Cc]opyright|[Rr]ights [Rr]eserved",
+            "contact": r"@\w|\+\d[\d ()-]{6}",
+            "code": r"[{};=]",
         }
     )
     language_shares: dict[str, float] = field(default_factory=dict)
@@ -104,7 +104,7 @@ def fit(cells: DataFrame, targets: Targets) -> Fit:
         F.sum(F.when((F.col("__language") == languages[i]) & (F.col("__topic") == topics[j]), F.col("tokens")).otherwise(0)).cast("double").alias(f"n{k}")
         for k, (i, j) in enumerate(pairs)
     ]
-    wide = written(cells.groupBy("__source").agg(*counts, F.sum("tokens").cast("double").alias("total")).where(F.col("total") > 0))
+    wide = written(cells.groupBy("__source").agg(*counts, F.sum("tokens").cast("double").alias("total")).where(F.col("total") > 0), small=True)
     power = F.pow("total", F.lit(targets.flatten))
     sums = wide.agg(F.coalesce(F.sum(power), F.lit(0.0)).alias("all"), *[F.coalesce(F.sum(f"n{k}"), F.lit(0.0)).alias(f"n{k}") for k in range(len(pairs))]).first()
     table = [sums[f"n{k}"] for k in range(len(pairs))]
@@ -130,7 +130,7 @@ def fit(cells: DataFrame, targets: Targets) -> Fit:
         if worst <= targets.tolerance:
             break
     weights = F.array(*[F.when(F.col(f"n{k}") > 0, F.lit(factors[0][i] * factors[1][j])).otherwise(F.lit(0.0)) for k, (i, j) in enumerate(pairs)])
-    sources = written(wide.select("__source", source_factor().alias("factor"), F.array_max(weights).alias("most")))
+    sources = written(wide.select("__source", source_factor().alias("factor"), F.array_max(weights).alias("most")), small=True)
     largest = sources.agg(F.max(F.col("factor") * F.col("most"))).first()[0] or 0.0
     return Fit(sources.select("__source", "factor"), dict(zip(languages, factors[0], strict=True)), dict(zip(topics, factors[1], strict=True)), largest, passes)
 
@@ -155,7 +155,7 @@ def with_sampling(docs: DataFrame, targets: Targets | None = None, seed: int = 0
     docs = docs.drop("n_tokens", "weight", "probability", "sampled")
     celled = with_cells(docs, targets)
     cells = celled.groupBy("__source", "__language", "__topic").agg(F.sum("__tokens").alias("tokens"))
-    fitted = fit(written(cells), targets)
+    fitted = fit(written(cells, small=True), targets)
     weight = F.coalesce(F.col("factor"), F.lit(0.0)) * _looked_up(F.col("__language"), fitted.languages) * _looked_up(F.col("__topic"), fitted.topics)
     t1, t2 = text_key(F.col("text"))
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(f"`{id_column}`"), t1, t2), 11) / F.lit(float(1 << 53))
