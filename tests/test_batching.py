@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
@@ -53,3 +54,8 @@ def test_pending_strips_and_skips_blanks(spark):
     )
     got = sorted(map(tuple, pending_headlines(rows).collect()))
     assert got == [(1, "Nepali", "a"), (4, "", "b")]
+
+
+def test_a_row_without_a_number_is_an_error(spark):
+    with pytest.raises(Exception, match="a row has no seq"):
+        assign_batches(pending(spark, [(None, "", "a"), (1, "", "b")])).collect()

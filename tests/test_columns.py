@@ -2,6 +2,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from tickertone.functions.times import feed_time
 from tickertone.functions import display, sentiment as se, times as ti
 
 
@@ -65,6 +66,14 @@ def test_display_texts(spark):
     assert column(spark, "string", ["Positive", "", None, "Unscored"], display.label_class) == ["positive", "other", "other", "other"]
     assert column(spark, "double", [12.34, -5.0, 0.0, None], display.signed_percent) == ["+12.3%", "-5.0%", "+0.0%", "—"]
     assert column(spark, "double", [0.798, 1.0, None], display.whole_percent) == ["80%", "100%", "—"]
+    assert column(spark, "double", [0.25, 0.75, -0.25], display.signed_percent) == ["+0.2%", "+0.8%", "-0.2%"]
+    assert column(spark, "double", [0.125, 0.005, 0.015], display.whole_percent) == ["12%", "0%", "2%"]
     assert column(spark, "timestamp", [datetime(2024, 1, 31, 18, 15), None], display.shown_time) == [
         "01 Feb 2024 · 12:00 AM", "Published time unavailable",
     ]
+
+
+def test_feed_times_need_a_date(spark):
+    texts = ["10:00", "02 January 2024 10:00:00 GMT", "Mon, 02 Sept 2024 10:00:00 +0545", "2024-01-02T03:04:05Z", "Tue, 02 Jan 2024 10:00 GMT", "soon", None]
+    got = column(spark, "string", texts, feed_time)
+    assert got == [None, datetime(2024, 1, 2, 10), datetime(2024, 9, 2, 4, 15), datetime(2024, 1, 2, 3, 4, 5), datetime(2024, 1, 2, 10), None, None]

@@ -4,7 +4,7 @@ from urllib.parse import quote
 from pyspark.sql import functions as F
 
 from tickertone.plans.articles import build_articles, tag_entries
-from tickertone.sources.feeds import keep_usable, malformed, read_entries, read_feed_files
+from tickertone.sources.feeds import decoded, feed_health, keep_usable, malformed, read_entries, read_feed_files
 from tickertone.sources.registry import FEEDS, count_by_region, default_registry, read_registry
 from tickertone.sources.topic import decode_messages, encode_messages
 
@@ -32,7 +32,7 @@ TRAILING = (
     "<rss version='2.0'><channel><title>News</title><item><title>Kept story</title><link>https://d.test/story</link></item>"
     "<item><title>Bad link</title><link>mailto:x</link></item></channel></rss><script>late()</script>"
 )
-BROKEN = "<rss><channel><item></rss>"
+BROKEN = "<rss version='2.0'><channel><title>Open</title><item><title>Never"
 HALF = (
     "<rss><channel><item><title>one</title><link>https://e.test/1</link></item>"
     "<item><title>two & three</title><link>https://e.test/2</link></item></channel></rss>"
@@ -144,3 +144,48 @@ def test_null_fields_are_written(spark):
         "title string, text string, link string, source string, region string, published_at timestamp, ingested_at timestamp",
     )
     assert encode_messages(rows).first().value.count("null") == 7
+
+
+def files(spark, **contents):
+    return decoded(spark.createDataFrame(list(contents.items()), "url string, content binary"))
+
+
+def one(title, encoding=None, root="rss"):
+    head = f"<?xml version='1.0' encoding='{encoding}'?>" if encoding else ""
+    return f"{head}<{root} version='2.0'><channel><item><title>{title}</title><link>https://f.test/1</link></item></channel></{root}>"
+
+
+def test_encodings_and_bad_bytes(spark):
+    padded = "<?xml version='1.0'" + " " * 400 + "encoding='windows-1251'?>" + one("Мир")
+    rows = files(
+        spark, bad=one("caf\u00e9", "UTF-8").encode("latin-1"), wide=one("Ünïcode", "UTF-16").encode("utf-16"),
+        quotes=one("It\u2019s", "windows-1252").encode("cp1252"), late=padded.encode("cp1251"), unknown=one("plain", "x-none").encode(),
+        marked=b"\xef\xbb\xbf" + one("é", "utf-8").encode(), none=None, empty=b"",
+    )
+    got = {r.url: (r.title, r.malformed) for r in read_entries(rows).collect()}
+    assert got == {
+        "bad": ("caf\ufffd", True), "wide": ("Ünïcode", False), "quotes": ("It\u2019s", False), "late": ("Мир", False),
+        "unknown": ("plain", False), "marked": ("é", False),
+    }
+
+
+def test_character_data_comments_and_open_entries(spark):
+    link = "<link>https://g.test/1</link>"
+    cdata = f"<rss><channel><item><title><![CDATA[see </item> & <b>tag</b>]]></title>{link}</item></channel></rss>"
+    comment = f"<rss><channel><!-- <item><title>no</title></item> --><item><title>yes</title>{link}</item></channel></rss>"
+    unclosed = f"<rss><channel><item><title>lost</title><item><title>sound</title>{link}</item></channel></rss>"
+    prefixed = "<a:feed xmlns:a='http://www.w3.org/2005/Atom'><a:entry><a:title>P</a:title><a:link href='https://g.test/p'/></a:entry></a:feed>"
+    extra = "<rss xmlns:atom='http://www.w3.org/2005/Atom'><channel><atom:link href='x'/>" + one("kept").split("<channel>")[1]
+    long = f"<rss><channel><item><title>{'long ' * 200_000}</title>{link}</item></channel></rss>"
+    rows = read_entries(documents(spark, cdata=cdata, comment=comment, unclosed=unclosed, prefixed=prefixed, extra=extra, long=long)).collect()
+    got = {r.url: (r.title, r.link) for r in rows}
+    assert len(rows) == 6 and len(got.pop("long")[0]) >= 999_999
+    assert got == {
+        "cdata": ("see </item> & <b>tag</b>", "https://g.test/1"), "comment": ("yes", "https://g.test/1"), "unclosed": ("sound", "https://g.test/1"),
+        "prefixed": ("P", "https://g.test/p"), "extra": ("kept", "https://f.test/1"),
+    }
+
+
+def test_health_shows_dead_feeds(spark):
+    rows = feed_health(documents(spark, rss=RSS, trailing=TRAILING, empty="", none=None)).collect()
+    assert {r.url: (r.malformed, r.found, r.kept) for r in rows} == {"rss": (False, 5, 5), "trailing": (True, 2, 1), "empty": (True, 0, 0), "none": (True, 0, 0)}

@@ -2,11 +2,10 @@
 
 import pytest
 
-import __spark_entry__ as entry
-from workload import tables
+from workload import queries, tables
 
 SF_DIR = "/root/testdata/sf0.001"
-LAZY = [name for name in entry.queries() if not name.startswith("stream_")]
+LAZY = [name for name in queries.registered() if not name.startswith("stream_")]
 
 
 def plan_of(df):
@@ -24,7 +23,7 @@ def no_broadcast(spark):
 @pytest.mark.parametrize("name", LAZY)
 def test_large_inputs_shuffle(spark, no_broadcast, name):
     """With size-based broadcasts off, what is still broadcast has a checked size."""
-    plan = plan_of(entry.queries()[name](spark, SF_DIR))
+    plan = plan_of(queries.registered()[name](spark, SF_DIR))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     registry = name in ("article_tagged", "article_build")
     assert registry or "BroadcastExchange" not in plan

@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from check import compare, open_duckdb
+from workload import oracle, queries
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -16,13 +17,13 @@ def duck():
 
 
 def test_every_query_has_its_sql():
-    assert entry.queries().keys() == entry.oracle_sql().keys()
+    assert queries.registered().keys() == oracle.statements().keys()
 
 
-@pytest.mark.parametrize("name", entry.queries())
+@pytest.mark.parametrize("name", queries.registered())
 def test_query_matches_sql(spark, duck, name):
-    mine = entry.queries()[name](spark, SF_DIR).toArrow()
-    assert compare(mine, duck.sql(entry.oracle_sql()[name]).to_arrow_table()) == ""
+    mine = queries.registered()[name](spark, SF_DIR).toArrow()
+    assert compare(mine, duck.sql(oracle.statements()[name]).to_arrow_table()) == ""
 
 
 def test_entry(spark):

@@ -5,10 +5,11 @@ from pyspark.sql import functions as F
 
 from tickertone.plans.report import batch_report, write_report
 from tickertone.plans.scorers import Providers, credential, label_of
-from tickertone.plans.scoring import score_articles, score_new_articles
+from tickertone.plans.scoring import score_articles, score_new_articles, score_requests
 from tickertone.schemas import FALLBACK_MODEL, PRIMARY_MODEL
+from tickertone.session import settings_for
 
-SCORES = {"h0": -100, "h1": -60, "h2": -10, "h3": 20, "h4": 50, "h5": 80, "h6": 100}
+SCORES = {"h0": 7, "h1": -20, "h2": 19, "h3": 93, "h4": -19, "h5": 20, "h6": -71}
 
 
 def table_scorer(headlines, region):
@@ -37,11 +38,11 @@ def test_regions_never_share_a_request(spark):
 def test_blank_titles_are_not_sent(spark):
     def strict(headlines, region):
         assert headlines == ["नयाँ"]
-        return [{"score": 40, "sentiment": "Positive", "sentiment_model": "m"}]
+        return [{"score": 26, "sentiment": "Positive", "sentiment_model": "m"}]
 
     rows = [(1, " नयाँ ", "body", "Nepali"), (2, " ", "body", None), (3, "", "b", "x"), (4, None, "b", "x")]
     got = {r.seq: r for r in score_articles(articles(spark, rows), strict).collect()}
-    assert (got[1].sentiment, got[1].sentiment_score, got[1].sentiment_language, got[1].title) == ("Positive", 40.0, "Nepali", " नयाँ ")
+    assert (got[1].sentiment, got[1].sentiment_score, got[1].sentiment_language, got[1].title) == ("Positive", 26.0, "Nepali", " नयाँ ")
     for seq in (2, 3, 4):
         r = got[seq]
         assert (r.sentiment, r.sentiment_score, r.sentiment_language, r.sentiment_model) == (
@@ -80,7 +81,7 @@ def test_report(spark, tmp_path):
     write_report(report, str(tmp_path / "out"))
     docs = sorted((json.loads(r.value) for r in spark.read.text(str(tmp_path / "out")).collect()), key=lambda d: d["title"])
     assert docs[0] == {
-        "title": "h1", "region": None, "sentiment": "Negative", "sentiment_score": -60.0, "sentiment_confidence": None,
+        "title": "h1", "region": None, "sentiment": "Negative", "sentiment_score": -20.0, "sentiment_confidence": None,
         "sentiment_language": "English", "sentiment_model": "m:None",
     }
     assert docs[1]["title"] == "नयाँ" and "text" not in docs[1]
@@ -142,3 +143,22 @@ def test_credentials_by_suffix():
     assert credential("TOKEN", "", secrets) == "a" and credential("TOKEN", "_NEPALI", secrets) == "b"
     with pytest.raises(RuntimeError, match="KEY_NEPALI"):
         credential("KEY", "_NEPALI", secrets)
+
+
+def test_requests_spread_over_tasks_under_cluster_settings(spark):
+    before = {k: spark.conf.get(k, None) for k in settings_for(1)}
+    for key, value in {**settings_for(1), "spark.sql.shuffle.partitions": "16"}.items():
+        if key != "spark.sql.files.maxPartitionBytes":
+            spark.conf.set(key, value)
+    try:
+        rows = articles(spark, [(i, f"x{i}", "", f"r{i % 3}") for i in range(400)])
+        scores = score_requests(rows, table_scorer).withColumn("task", F.spark_partition_id())
+        assert scores.select("task").distinct().count() > 8 and scores.count() == 400
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def test_width_follows_the_bytes():
+    assert settings_for(0)["spark.sql.shuffle.partitions"] == "200"
+    assert int(settings_for(10**14)["spark.sql.shuffle.partitions"]) * 128 * 2**20 > 0.99 * 10**14

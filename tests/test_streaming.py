@@ -12,7 +12,8 @@ from tickertone.sources.registry import FEEDS, default_registry
 from tickertone.sources.store import ScoredStore
 from tickertone.sources.titles import TitleIndex
 from tickertone.sources.topic import decode_messages, encode_messages, read_topic_files, write_topic_files
-from tickertone.streaming.live import bucket_counts, start_refresh, write_panels
+from tickertone.streaming.arrival import with_arrival
+from tickertone.streaming.live import bucket_counts, current_panels, read_bucket_counts, start_bucket_counts, start_refresh, write_panels
 from tickertone.streaming.publishing import feed_articles, publish_batch, start_publishing, unsent
 from tickertone.streaming.scoring import process_batch, start_scoring
 from test_feeds import RSS, TRAILING
@@ -209,12 +210,11 @@ def test_stream_counts_equal_the_grid(spark, tmp_path, unit, spec):
     rows.repartition(3).write.parquet(str(tmp_path / "s"))
     source = spark.readStream.schema("published_at timestamp, sentiment string").parquet(str(tmp_path / "s"))
     query = (
-        bucket_counts(source, unit).writeStream.outputMode("complete").format("memory").queryName(f"live_{unit}")
-        .option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        start_bucket_counts(bucket_counts(source, unit), str(tmp_path / "o"), str(tmp_path / "c"), {"availableNow": True})
     )
     query.awaitTermination()
     grid = {(r.bucket, r.sentiment): r.stories for r in grids.sentiment_grid(rows, NOW, spec).collect() if r.stories}
-    live = {(r.bucket, r.sentiment): r.stories for r in spark.table(f"live_{unit}").collect()}
+    live = {(r.bucket, r.sentiment): r.stories for r in read_bucket_counts(spark, str(tmp_path / "o")).collect()}
     assert grid and all(live[key] == n for key, n in grid.items())
 
 
@@ -222,12 +222,88 @@ def test_panel_tables(spark, tmp_path):
     store = ScoredStore(spark, str(tmp_path / "store"))
     publish(spark, tmp_path / "topic", [article("a"), article("a long headline to be positive"), article("c", region="Nepali")])
     run(spark, tmp_path, store)
-    write_panels(store, str(tmp_path / "panels"), NOW + timedelta(minutes=1))
-    assert spark.read.parquet(str(tmp_path / "panels/overview")).where("feed = 'International'").first().count_60m == 2
+    folder = str(tmp_path / "panels")
+    write_panels(store, folder, NOW + timedelta(minutes=1))
+    now = current_panels(spark, folder)
+    assert spark.read.parquet(f"{now}/overview").where("feed = 'International'").first().count_60m == 2
+    assert spark.read.parquet(f"{now}/Nepali/hourly_sentiment").agg(F.sum("stories")).first()[0] == 1
+    reader = spark.read.parquet(f"{now}/Nepali/daily_sentiment")
+    for i in range(2, 5):  # a reader of a version is not disturbed by newer ones
+        write_panels(store, folder, NOW + timedelta(minutes=i))
+    assert current_panels(spark, folder) != now and reader.count() == 21
+    (tmp_path / "panels" / "99999999-half-written").mkdir()
+    assert spark.read.parquet(f"{current_panels(spark, folder)}/overview").count() == 2
     query = start_refresh(spark, store, str(tmp_path / "live"), str(tmp_path / "tick"), "1 second")
     deadline = time.time() + 60
     while not (query.lastProgress and query.lastProgress["batchId"] >= 1) and time.time() < deadline:
         time.sleep(0.5)
     query.stop()
-    mix = spark.read.parquet(str(tmp_path / "live/International/sentiment_mix"))
+    mix = spark.read.parquet(f"{current_panels(spark, str(tmp_path / 'live'))}/International/sentiment_mix")
     assert {(r.sentiment, r.stories) for r in mix.collect()} == {("Neutral", 1), ("Positive", 1)}
+
+
+def test_late_and_future_stories_are_counted(spark, tmp_path):
+    schema = "published_at timestamp, sentiment string"
+    days = [[NOW], [NOW + timedelta(days=30)], [NOW, NOW - timedelta(days=90)], [None]]
+
+    def drain():
+        source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "s"))
+        start_bucket_counts(bucket_counts(source, "day"), str(tmp_path / "o"), str(tmp_path / "c"), {"availableNow": True}).awaitTermination()
+        return sorted(r.stories for r in read_bucket_counts(spark, str(tmp_path / "o")).collect())
+
+    for stories in days:
+        spark.createDataFrame([(at, "Neutral") for at in stories], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "s"))
+    assert drain() == [1, 1, 2]
+    spark.createDataFrame([(NOW, "Neutral")], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "s"))
+    assert drain() == [1, 1, 3]
+
+
+@pytest.mark.parametrize("batch_id", [0, 32_767, 32_768, 10**9])
+def test_arrival_numbers_last(spark, batch_id):
+    rows = spark.range(1000).repartition(7).where("id % 5 <> 2")
+    got = sorted(r.seq for r in with_arrival(rows, batch_id).collect())
+    assert got == [batch_id * 2**32 + i for i in range(800)]
+    assert with_arrival(rows.withColumn("seq", F.col("id")), batch_id).columns == ["id", "seq"]
+
+
+def test_arrival_numbers_of_many_tasks(spark):
+    rows = spark.range(0, 2000, 1, 1000).where("id >= 1500")
+    numbered = with_arrival(rows, 5).agg(F.count_distinct("seq"), F.max("seq")).first()
+    assert tuple(numbered) == (500, 5 * 2**32 + 499)
+
+
+def test_arrival_numbers_do_not_run_over(spark):
+    with pytest.raises(ValueError, match="no room"):
+        with_arrival(spark.range(3), 2**31)
+
+
+def test_index_keeps_its_bucket_count(spark, tmp_path):
+    path = str(tmp_path / "titles")
+    rows = spark.range(50).select(F.concat(F.lit("t"), F.col("id").cast("string")).alias("title"))
+    TitleIndex(spark, path, buckets=8).add(rows)
+    again = TitleIndex(spark, path)
+    assert again.buckets == 8 and again.find(rows).count() == 50
+    with pytest.raises(ValueError, match="8 buckets, not 64"):
+        TitleIndex(spark, path, buckets=64)
+
+
+def test_long_titles_are_not_broadcast(spark, tmp_path):
+    index = TitleIndex(spark, str(tmp_path / "titles"), buckets=2)
+    wide = spark.range(30).select(F.concat(F.col("id").cast("string"), F.repeat(F.lit("x"), 1_000_000)).alias("title"))
+    index.add(wide)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few = index.find(wide.where("title like '3x%'"))
+        assert "BroadcastHashJoin" in few._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in index.find(wide)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_grids_on_the_store_read_recent_days_only(spark, tmp_path):
+    store = ScoredStore(spark, str(tmp_path / "store"))
+    process_batch(spark.createDataFrame([article("a")], ARTICLE), 0, store, scorer)
+    plan = grids.sentiment_grid(store.articles(), NOW, grids.HOURLY)._jdf.queryExecution().executedPlan().toString()
+    filters = next(line for line in plan.splitlines() if "FileScan" in line).split("PartitionFilters")[1].split("PushedFilters")[0]
+    assert "published_date" in filters

@@ -49,8 +49,9 @@ def shown_link(link: Column) -> Column:
 
 
 def signed_percent(value: Column) -> Column:
-    return F.when(value.isNotNull(), F.format_string("%+.1f%%", value)).otherwise(NO_VALUE)
+    """One digit after the point, ties to the even digit."""
+    return F.when(value.isNotNull(), F.format_string("%+.1f%%", F.bround(value, 1))).otherwise(NO_VALUE)
 
 
 def whole_percent(share: Column) -> Column:
-    return F.when(share.isNotNull(), F.format_string("%.0f%%", share * 100)).otherwise(NO_VALUE)
+    return F.when(share.isNotNull(), F.format_string("%.0f%%", F.bround(share * 100, 0))).otherwise(NO_VALUE)

@@ -18,9 +18,13 @@ def iso_time(text: Column) -> Column:
 def feed_time(text: Column) -> Column:
     """ISO or mail-style (``Tue, 02 Jan 2024 10:00:00 +0545``) text to timestamp, else null."""
     # Pattern letter E is refused when parsing, so the week day is cut off first.
-    bare = F.regexp_replace(F.trim(text), r"^[A-Za-z]{3,9},?\s+", "")
+    bare = F.regexp_replace(F.trim(text), r"^[A-Za-z]{3,9},?\s+(?=\d)", "")
+    # Month names are read by their first three letters, whatever follows.
+    bare = F.regexp_replace(bare, r"^(\d{1,2}\s+[A-Za-z]{3})[A-Za-z]*\.?", "$1")
     mail = [F.try_to_timestamp(bare, F.lit(fmt)) for fmt in MAIL_FORMATS]
-    return F.coalesce(iso_time(F.trim(text)), *mail)
+    # A time of day alone would be read as of today.
+    dated = F.when(F.trim(text).rlike(r"^\d{4}"), F.trim(text))
+    return F.coalesce(iso_time(dated), *mail)
 
 
 def iso_text(ts: Column) -> Column:

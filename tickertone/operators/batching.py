@@ -18,9 +18,11 @@ def number_rows(rows: DataFrame, key: str, order: str = "seq", block_bits: int =
     unique integer, so it is cut into blocks of equal width: a (key, block) group holds at most
     one block of rows however hot the key is. Rows are numbered inside their block and moved up
     by the count of the blocks before, which is a table of one small row per block. Blocks depend
-    on values alone, so a task that runs again numbers its rows the same way.
+    on values alone, so a task that runs again numbers its rows the same way. A row without a
+    number has no place and is an error.
     """
-    blocked = rows.withColumn("_block", F.shiftright(order, block_bits))
+    missing = F.raise_error(F.lit(f"a row has no {order}")).cast("bigint")
+    blocked = rows.withColumn("_block", F.coalesce(F.shiftright(order, block_bits), missing))
     earlier = (
         Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     )

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tickertone.functions.display import DAY_LABEL, HOUR_LABEL
 from tickertone.functions.times import local_bucket
+from tickertone.operators.samples import published_since
 from tickertone.schemas import LABELS, LOCAL_ZONE
 
 # Unit, number of buckets up to the current one, and bucket label.
@@ -38,7 +39,7 @@ def sentiment_grid(
     """
     unit, periods, pattern = spec
     reach = timedelta(hours=periods + 1) if unit == "hour" else timedelta(days=periods + 1)
-    recent = df.where(F.col("published_at") >= F.lit(as_of - reach))
+    recent = published_since(df, as_of - reach)
     counts = recent.groupBy(
         local_bucket(F.col("published_at"), unit, zone).alias("bucket"), "sentiment"
     ).agg(F.count("*").alias("n"))

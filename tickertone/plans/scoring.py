@@ -67,12 +67,16 @@ def score_requests(
     tasks: int | None = None,
     block_bits: int = BLOCK_BITS,
 ) -> DataFrame:
-    """Scores by article key. ``tasks`` sets how many requests may run at once."""
+    """Scores by article key. ``tasks`` sets how many requests may run at once.
+
+    Without it there are as many tasks as the session has shuffle partitions. The number is stated,
+    because requests are small and adaptive planning would fold all of them into one task.
+    """
     keep = () if key == "seq" else (key,)
     assigned = assign_batches(pending_headlines(articles, keep=keep), size=size, block_bits=block_bits)
-    if tasks:
-        # The grouping below reuses this partitioning, and AQE leaves its number of tasks alone.
-        assigned = assigned.repartition(tasks, "region_key", "batch_no")
+    tasks = tasks or int(articles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # The grouping below reuses this partitioning, and AQE leaves its number of tasks alone.
+    assigned = assigned.repartition(tasks, "region_key", "batch_no")
     return run_scorer(form_requests(assigned, key), scorer, key)
 
 

@@ -22,10 +22,9 @@ _MB = 1024 * 1024
 def settings_for(shuffle_bytes: int) -> dict[str, str]:
     """Shuffle width for a job whose widest shuffle moves ``shuffle_bytes``.
 
-    AQE joins partitions that turn out small but cannot add any, so the start is about 128 MB each,
-    within what a driver can track.
+    AQE joins partitions that turn out small but cannot add any, so the start is about 128 MB each.
     """
-    width = min(max(shuffle_bytes // (128 * _MB), 200), 200_000)
+    width = max(shuffle_bytes // (128 * _MB), 200)
     return {
         "spark.sql.shuffle.partitions": str(width),
         "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",

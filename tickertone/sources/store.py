@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from tickertone.functions.sentiment import feed_of
 from tickertone.operators.dedup import TITLE_KEY, title_keys
 from tickertone.schemas import SCORED
-from tickertone.sources.titles import BROADCAST_TITLES, BUCKETS, TitleIndex
+from tickertone.sources.titles import BROADCAST_BYTES, BROADCAST_TITLES, TitleIndex
 
 _ARTICLES = T.StructType(
     [
@@ -23,7 +23,7 @@ _ARTICLES = T.StructType(
 )
 
 class ScoredStore:
-    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
+    def __init__(self, spark: SparkSession, root: str, buckets: int | None = None):
         self.spark, self.articles_path = spark, f"{root}/articles"
         self.titles = TitleIndex(spark, f"{root}/titles", buckets)
         empty = spark.createDataFrame([], _ARTICLES)
@@ -66,6 +66,7 @@ class ScoredStore:
         day, at = F.to_date("published_at"), F.col("ingested_at")
         span = batch.agg(
             F.count("*").alias("rows"),
+            F.sum(F.octet_length("title")).alias("bytes"),
             F.min(day).alias("day_from"), F.max(day).alias("day_to"),
             F.min(at).alias("at_from"), F.max(at).alias("at_to"),
         ).first()
@@ -81,5 +82,5 @@ class ScoredStore:
             & inside("ingested_at", span["at_from"], span["at_to"])
         )
         wanted = title_keys(batch)
-        few = span["rows"] <= BROADCAST_TITLES
+        few = span["rows"] <= BROADCAST_TITLES and (span["bytes"] or 0) <= BROADCAST_BYTES
         return title_keys(earlier).join(F.broadcast(wanted) if few else wanted, TITLE_KEY, "left_semi")

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from tickertone.operators.dedup import TITLE_KEY, title_keys
 
 BUCKETS = 64
-BROADCAST_TITLES = 100_000  # at most about 20 MB of headlines
+# Titles have no length limit, so both are checked.
+BROADCAST_TITLES, BROADCAST_BYTES = 100_000, 20 * 1024 * 1024
 
 _TITLES = T.StructType(
     [
@@ -23,8 +24,16 @@ _TITLES = T.StructType(
 
 
 class TitleIndex:
-    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
-        self.spark, self.path, self.buckets = spark, path, buckets
+    """``buckets`` is fixed when an index is made and kept beside it; asking for another is an error."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
+        self.spark, self.path = spark, path
+        layout = f"{path}_layout"
+        # Written only if it is not there yet: an index keeps the count it was made with.
+        spark.createDataFrame([(buckets or BUCKETS,)], "buckets int").coalesce(1).write.mode("ignore").parquet(layout)
+        self.buckets = spark.read.schema("buckets int").parquet(layout).first().buckets
+        if buckets not in (None, self.buckets):
+            raise ValueError(f"the index at {path} has {self.buckets} buckets, not {buckets}")
         empty = spark.createDataFrame([], _TITLES)
         empty.write.mode("ignore").partitionBy("bucket").parquet(path)
 
@@ -65,10 +74,12 @@ class TitleIndex:
         The batch titles are broadcast when they are few; the index never is.
         """
         wanted = self._bucketed(title_keys(batch))
-        size = wanted.agg(F.count("*").alias("titles"), F.collect_set("bucket").alias("buckets")).first()
+        size = wanted.agg(
+            F.count("*").alias("titles"), F.collect_set("bucket").alias("buckets"), F.sum(F.octet_length("_title")).alias("bytes")
+        ).first()
         if not size["titles"]:
             return None
         found = self.read().where(F.col("bucket").isin(size["buckets"]))  # at most all buckets
-        few = size["titles"] <= BROADCAST_TITLES
+        few = size["titles"] <= BROADCAST_TITLES and (size["bytes"] or 0) <= BROADCAST_BYTES
         hits = found.join(F.broadcast(wanted) if few else wanted, ["bucket", *TITLE_KEY], "left_semi")
         return hits.select(*TITLE_KEY).distinct()

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tickertone.functions.times import local_time
+from tickertone.operators import grids
 from tickertone.plans import panels
 from tickertone.sources.store import ScoredStore
 
@@ -15,40 +17,86 @@ from tickertone.sources.store import ScoredStore
 WINDOWS = {"hour": ("1 hour", "15 minutes"), "day": ("1 day", "18 hours 15 minutes")}
 
 
-def bucket_counts(scored: DataFrame, unit: str = "hour", lateness: str = "24 hours") -> DataFrame:
+def bucket_counts(scored: DataFrame, unit: str = "hour") -> DataFrame:
     """Stories per local time bucket and label as a stream over publish time.
 
-    State holds one row per open bucket and label. Records later than ``lateness`` are left out,
-    which the batch grid does not do; choose it as long as late news may take.
+    There is no watermark: late news counts, and one story dated ahead does not shut the others
+    out. State holds one row per bucket and label that ever had a story, some thousands a year.
     """
     length, start = WINDOWS[unit]
     window = F.window("published_at", length, length, start)
     return (
-        scored.withWatermark("published_at", lateness)
-        .groupBy(window.alias("window"), "sentiment")
+        scored.groupBy(window.alias("window"), "sentiment")
         .agg(F.count("*").alias("stories"))
         .select(local_time(F.col("window.start")).alias("bucket"), "sentiment", "stories")
     )
 
 
-def write_panels(store: ScoredStore, path: str, as_of: datetime) -> None:
-    """Replace the stored panel tables by their state at ``as_of``."""
-    articles = store.articles()
-    panels.overview(articles, as_of).write.mode("overwrite").parquet(f"{path}/overview")
+def start_bucket_counts(counts: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Keep a table of the counts that changed, by micro-batch; a batch that runs again replaces its rows."""
+
+    def upsert(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return (
+        counts.writeStream.outputMode("update")
+        .foreachBatch(upsert)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"processingTime": "10 seconds"}))
+        .start()
+    )
+
+
+def read_bucket_counts(spark: SparkSession, path: str) -> DataFrame:
+    """The latest count of each bucket and label."""
+    written = spark.read.schema("bucket timestamp, sentiment string, stories bigint, batch bigint").parquet(path)
+    return written.groupBy("bucket", "sentiment").agg(F.max_by("stories", "batch").alias("stories"))
+
+
+KEPT_VERSIONS = 5  # older panel versions are deleted; readers of the newest are not disturbed
+_VERSIONS = "version string, as_of timestamp"
+
+
+def write_panels(store: ScoredStore, path: str, as_of: datetime) -> str:
+    """Write all panel tables at ``as_of`` as a new version, then make it the current one."""
+    spark, articles = store.spark, store.articles()
+    version = f"{as_of:%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
+    to = f"{path}/{version}"
+    panels.overview(articles, as_of).write.parquet(f"{to}/overview")
     for feed in panels.FEEDS:
         rows = panels.sample(articles, feed).persist()  # at most the sample size
         try:
-            panels.sentiment_mix(rows).write.mode("overwrite").parquet(f"{path}/{feed}/sentiment_mix")
-            panels.source_counts(rows).write.mode("overwrite").parquet(f"{path}/{feed}/source_counts")
-            panels.story_list(rows).write.mode("overwrite").parquet(f"{path}/{feed}/story_list")
+            tables = {
+                "sentiment_mix": panels.sentiment_mix(rows),
+                "source_counts": panels.source_counts(rows),
+                "story_list": panels.story_list(rows),
+                "hourly_sentiment": grids.sentiment_grid(rows, as_of, grids.HOURLY),
+                "daily_sentiment": grids.sentiment_grid(rows, as_of, grids.DAILY),
+            }
+            for name, table in tables.items():
+                table.write.parquet(f"{to}/{feed}/{name}")
         finally:
             rows.unpersist()
+    # The row that names the version appears only after all its tables are there.
+    spark.createDataFrame([(version, as_of)], _VERSIONS).coalesce(1).write.mode("append").parquet(f"{path}/versions")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = sorted(f.getPath().getName() for f in files.listStatus(folder) if f.getPath().getName() != "versions")
+    for old in found[:-KEPT_VERSIONS]:
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{old}"), True)
+    return version
+
+
+def current_panels(spark: SparkSession, path: str) -> str:
+    """Folder of the newest complete version of the panel tables."""
+    newest = spark.read.schema(_VERSIONS).parquet(f"{path}/versions").agg(F.max("version").alias("version")).first()
+    return f"{path}/{newest.version}"
 
 
 def start_refresh(
     spark: SparkSession, store: ScoredStore, path: str, checkpoint: str, interval: str = "10 seconds"
 ) -> StreamingQuery:
-    """Rewrite the panel tables on every tick of the clock."""
+    """Write the panel tables anew on every tick of the clock; readers follow ``current_panels``."""
     ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
 
     def refresh(batch: DataFrame, batch_id: int) -> None:

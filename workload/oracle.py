@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
-from tickertone.plans import requests as prompts
 from tickertone.schemas import FALLBACK_MODEL, NO_HEADLINE_MODEL, PRIMARY_MODEL
 from tickertone.sources.registry import FEEDS
 from workload.tables import RESPONSE_VARIANTS, STORE_HOURS
@@ -20,7 +17,7 @@ ARTICLES = """
 articles AS (
   SELECT e.event_id AS seq,
     CASE WHEN e.event_id % 97 = 0 THEN NULL WHEN e.value < 1 THEN ' '
-         ELSE substr(split_part(d.text, chr(10), 1), 1, 160) END AS title,
+         ELSE split_part(d.text, chr(10), 1) END AS title,
     CASE WHEN e.event_type = 'signup' THEN '' ELSE substr(d.text, 1, 6000) END AS text,
     CASE WHEN e.event_id % 11 = 0 THEN 'No Link Provided'
          ELSE 'https://' || d.source || '.example/' || e.event_id END AS link,
@@ -180,23 +177,44 @@ ANALYSIS = f"""
   CASE WHEN sentiment = 'Unscored' THEN '{NO_HEADLINE_MODEL}' ELSE '{PRIMARY_MODEL}' END AS sentiment_model"""
 
 
+# What a request must say, stated here and not taken from the package.
+SYSTEM = "You score news headlines. Reply with the results object only, as JSON."
+NEPALI_SYSTEM = "You score news headlines. Reply with the results object only, as JSON. Expect Devanagari, romanised Nepali and English side by side."
+SCALE = "Use whole numbers between -100 (bad news) and 100 (good news); anything within 19 of zero reads as neutral. "
+LIMITS = "The headline is all you know: leave the story behind it out. "
+ANSWER = 'Return {"results":[{"id":1,"score":0}]} and list every id once.\nHeadlines:\n'
+USER = f"Score the tone of each headline below. {SCALE}{LIMITS}{ANSWER}"
+NEPALI_USER = (
+    f"Score the news from Nepal below by what it says; a headline scores the same in whichever script it is written. {SCALE}"
+    "Ask first whether the headline reports a change for readers in Nepal. Without one, score 0. With one, "
+    "choose the sign, then the size: up to 40 if it touches a few readers or is easily undone, more if it "
+    f"touches many or lasts. {LIMITS}{ANSWER}"
+)
+PRIMARY_SCHEMA = (
+    '{"type":"object","properties":{"results":{"type":"array","items":{"type":"object","properties":'
+    '{"id":{"type":"integer"},"score":{"type":"integer","minimum":-100,"maximum":100}},"required":["id","score"]}}},"required":["results"]}'
+)
+FALLBACK_SCHEMA = (
+    '{"type":"OBJECT","properties":{"results":{"type":"ARRAY","items":{"type":"OBJECT","properties":'
+    '{"id":{"type":"INTEGER"},"score":{"type":"INTEGER","minimum":-100,"maximum":100}},"required":["id","score"]}}},"required":["results"]}'
+)
+
+
 def payload_sql() -> str:
-    primary_schema = json.dumps(prompts.response_schema(), separators=(",", ":"))
-    fallback_schema = json.dumps(prompts.response_schema(upper=True), separators=(",", ":"))
     return f"""
 SELECT region_key, batch_no, CAST(n AS INTEGER) AS headline_count, system_text, user_text, credential_suffix,
   '{{"messages":[{{"role":"system","content":' || to_json(system_text) || '}},{{"role":"user","content":' || to_json(user_text)
-    || '}}],"response_format":{{"type":"json_schema","json_schema":' || {quoted(primary_schema)}
+    || '}}],"response_format":{{"type":"json_schema","json_schema":' || {quoted(PRIMARY_SCHEMA)}
     || '}},"temperature":0,"max_tokens":' || greatest(128, 64 * n) || '}}' AS primary_payload,
   '{{"systemInstruction":{{"parts":[{{"text":' || to_json(system_text) || '}}]}},"contents":[{{"parts":[{{"text":' || to_json(user_text)
     || '}}]}}],"generationConfig":{{"temperature":0,"maxOutputTokens":' || greatest(256, 64 * n)
-    || ',"responseMimeType":"application/json","responseSchema":' || {quoted(fallback_schema)} || '}}}}' AS fallback_payload
+    || ',"responseMimeType":"application/json","responseSchema":' || {quoted(FALLBACK_SCHEMA)} || '}}}}' AS fallback_payload
 FROM (
   SELECT *, lower(region_key) = 'nepali' AS nepali,
-    CASE WHEN nepali THEN {quoted(prompts.NEPALI_SYSTEM_TEXT)} ELSE {quoted(prompts.SYSTEM_TEXT)} END AS system_text,
-    CASE WHEN nepali THEN {quoted(prompts.NEPALI_USER_TEXT)} ELSE {quoted(prompts.USER_TEXT)} END
+    CASE WHEN nepali THEN {quoted(NEPALI_SYSTEM)} ELSE {quoted(SYSTEM)} END AS system_text,
+    CASE WHEN nepali THEN {quoted(NEPALI_USER)} ELSE {quoted(USER)} END
       || to_json(list_transform(headlines, lambda h, i: {{'id': i, 'headline': h}})) AS user_text,
-    CASE WHEN nepali THEN '{prompts.NEPALI_CREDENTIAL_SUFFIX}' ELSE '' END AS credential_suffix
+    CASE WHEN nepali THEN '_NEPALI' ELSE '' END AS credential_suffix
   FROM requests) r"""
 
 
@@ -210,6 +228,16 @@ def statements() -> dict[str, str]:
             FEED_ENTRIES,
             select="""SELECT url, malformed, title, link FROM entries
 WHERE NOT malformed OR (trim(coalesce(title, '')) <> '' AND link LIKE 'http%://%')""",
+        ),
+        "feed_health": with_views(
+            FEED_ENTRIES,
+            select="""SELECT 'https://feeds.example/' || feed_no AS url, feed_no % 5 = 0 OR feed_no % 7 IN (1, 3, 4) AS malformed,
+  CASE feed_no % 7 WHEN 4 THEN 0 WHEN 1 THEN n + 1 WHEN 2 THEN n + 1 ELSE n END AS found,
+  CASE WHEN feed_no % 7 = 4 THEN 0 WHEN feed_no % 7 = 2 THEN CASE WHEN feed_no % 5 = 0 THEN usable ELSE n END + 1
+       WHEN feed_no % 5 = 0 OR feed_no % 7 IN (1, 3) THEN usable ELSE n END AS kept
+FROM (SELECT CAST(split_part(url, '/', 4) AS BIGINT) AS feed_no, count(*) AS n,
+        count(*) FILTER (trim(coalesce(title, '')) <> '' AND link LIKE 'http%://%') AS usable
+      FROM entries GROUP BY ALL) f""",
         ),
         "stored_title_lookup": with_views(
             CLOCK, ARTICLES, STORED,
@@ -345,9 +373,7 @@ FROM sample WHERE place <= 30"""
         ).replace("CAST(NULL AS DOUBLE) AS sentiment_confidence,", ""),
         "stream_title_dedup": with_views(ARTICLES, select="SELECT DISTINCT title FROM articles"),
         "stream_hourly_counts": from_scored(
-            """SELECT * FROM (
-  SELECT date_trunc('hour', published_at + INTERVAL 345 MINUTE) AS bucket, sentiment, count(*) AS stories
-  FROM scored WHERE published_at IS NOT NULL GROUP BY ALL) c
-WHERE bucket + INTERVAL 1 HOUR - INTERVAL 345 MINUTE <= (SELECT max(published_at) FROM scored) - INTERVAL 24 HOUR"""
+            """SELECT date_trunc('hour', published_at + INTERVAL 345 MINUTE) AS bucket, sentiment, count(*) AS stories
+  FROM scored WHERE published_at IS NOT NULL GROUP BY ALL"""
         ),
     }

@@ -35,7 +35,7 @@ from tickertone.sources import feeds
 from tickertone.sources.registry import count_by_region, default_registry
 from tickertone.sources.store import ScoredStore
 from tickertone.sources.topic import decode_messages, encode_messages, read_topic_files
-from tickertone.streaming.live import bucket_counts
+from tickertone.streaming.live import bucket_counts, read_bucket_counts, start_bucket_counts
 from tickertone.streaming.publishing import unsent
 from tickertone.streaming.scoring import start_scoring
 from workload import tables
@@ -99,6 +99,12 @@ def feed_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.keep_usable(entries).select("url", "malformed", "title", "link")
 
 
+@query
+def feed_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries found and kept of feed files with bad bytes, broken entries, CDATA end tags and nothing in them."""
+    return feeds.feed_health(feeds.decoded(tables.damaged_feed_files(spark, sf_dir)))
+
+
 @query
 def stored_title_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     clock, rows = tables.as_of(spark, sf_dir), tables.articles(spark, sf_dir)
@@ -347,8 +353,10 @@ def region_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_folder(spark: SparkSession) -> str:
-    """A new folder for one run, in the shared checkpoint folder when the session names one."""
+    """A new folder for one run, in the shared checkpoint folder; its own only in local mode."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{shared}/tickertone-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="tickertone-")
 
 
@@ -382,14 +390,14 @@ def stream_title_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly local counts by the stream; late enough a watermark keeps every record."""
+    """Hourly local counts kept by the stream, of every dated record however late."""
     run = run_folder(spark)
     rows = tables.scored(spark, sf_dir).select("published_at", "sentiment")
     rows.write.parquet(f"{run}/scored")
-    source = spark.readStream.schema("published_at timestamp, sentiment string").parquet(f"{run}/scored")
-    counts = bucket_counts(source, "hour", "24 hours")
-    _drain(counts, run)
-    return spark.read.schema("bucket timestamp, sentiment string, stories bigint").parquet(f"{run}/out")
+    source = spark.readStream.schema("published_at timestamp, sentiment string").option("maxFilesPerTrigger", 8)
+    counts = bucket_counts(source.parquet(f"{run}/scored"), "hour")
+    start_bucket_counts(counts, f"{run}/out", f"{run}/checkpoint", {"availableNow": True}).awaitTermination()
+    return read_bucket_counts(spark, f"{run}/out")
 
 
 def _drain(frame: DataFrame, run: str) -> None:

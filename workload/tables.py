@@ -45,7 +45,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Cut the text before the join, so only the columns a query uses are shuffled.
     docs = documents.select(
         F.col("doc_id").alias("d_id"),
-        F.substring(F.substring_index("text", "\n", 1), 1, 160).alias("headline"),
+        F.substring_index("text", "\n", 1).alias("headline"),
         F.substring("text", 1, 6000).alias("excerpt"),
         "source",
         F.when(F.col("lang") == "en", "International")
@@ -147,6 +147,32 @@ def feed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def damaged_feed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed documents as bytes, some damaged by the number of the feed.
+
+    Modulo seven: 1 begins with an entry that is never closed, 2 ends with an entry whose title holds
+    its own closing tag as character data, 3 holds a byte that is not UTF-8, 4 is empty.
+    """
+    feed_no = F.element_at(F.split("url", "/"), -1).cast("long")
+    kind = feed_no % 7
+    is_atom = feed_no % 2 == 1
+    name = F.when(is_atom, "entry").otherwise("item")
+    link = F.when(is_atom, '<link href="https://x.example/1"/>').otherwise("<link>https://x.example/1</link>")
+    opening = F.when(is_atom, '<feed xmlns="http://www.w3.org/2005/Atom">').otherwise('<rss version="2.0"><channel>')
+    closing = F.when(is_atom, "</feed>").otherwise("</channel></rss>")
+    unclosed = F.concat(opening, F.lit("<"), name, F.lit("><title>cut off</title>"))
+    closed = F.concat(F.lit("<"), name, F.lit("><title><![CDATA[a </"), name, F.lit("> b]]></title>"), link, F.lit("</"), name, F.lit(">"), closing)
+    text = F.when(kind == 1, F.replace("document", opening, unclosed)).when(kind == 2, F.replace("document", closing, closed)).otherwise(F.col("document"))
+    content = F.encode(text, "UTF-8")
+    # The byte follows the opening, so it stands in no entry.
+    head = F.encode(F.call_function("substring_index", F.col("document"), opening, F.lit(1)), "UTF-8")
+    rest = F.encode(F.concat(opening, F.call_function("substring_index", F.col("document"), opening, F.lit(-1))), "UTF-8")
+    cut = F.length(F.encode(opening, "UTF-8"))
+    damaged = F.concat(head, F.substring(rest, F.lit(1), cut), F.unhex(F.lit("E9")), F.substring(rest, cut + 1, F.length(rest)))
+    content = F.when(kind == 3, damaged).when(kind == 4, F.encode(F.lit(""), "UTF-8")).otherwise(content)
+    return feed_documents(spark, sf_dir).select("url", content.alias("content"))
+
+
 def page_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feed entries made from web pages, their markup in the content, summary or description.
 
