@@ -77,7 +77,7 @@ def test_band_shape():
         assert 1 - (1 - threshold**rows) ** bands >= neardup.RECALL and bands * rows <= neardup.MAX_HASHES
     assert neardup.band_shape(1.0) == (1, neardup.MAX_HASHES)
     with pytest.raises(ValueError):
-        neardup.band_shape(0.3, 0.9999, 64)
+        neardup.band_shape(0.1, 0.9999, 64)
 
 
 def test_large_groups_verify_as_small_ones():
@@ -85,8 +85,13 @@ def test_large_groups_verify_as_small_ones():
 
     r = np.random.default_rng(2)
     sets = [np.unique(r.integers(0, 60, 40).astype(np.uint64)) for _ in range(40)]
-    got = set(zip(*(x.tolist() for x in neardup.links_within(sets, None, Fraction(2, 5))), strict=True))
-    assert got == {(i, j) for i in range(40) for j in range(i + 1, 40) if 5 * len(set(sets[i]) & set(sets[j])) >= 2 * len(set(sets[i]) | set(sets[j]))}
+    got = neardup.links_within(sets, None, Fraction(2, 5))
+    assert {(i, j) for i, j in np.argwhere(got).tolist()} == {(i, j) for i in range(40) for j in range(40) if i != j and 5 * len(set(sets[i]) & set(sets[j])) >= 2 * len(set(sets[i]) | set(sets[j]))}
+
+
+def test_a_link_counts_under_its_least_label():
+    before = neardup.met_before(5, [[5], [5, 2], [5, 2, 9], [5, 9], [5, 1]])
+    assert [(i, j) for i in range(5) for j in range(i + 1, 5) if before[i, j]] == [(1, 2)]
 
 
 def test_components(spark):
