@@ -3,7 +3,9 @@
 Texts with the same set of n-grams are one class. Signatures are cut into bands; classes that share a
 band hash meet in a bucket. Buckets that overlap get one label, so that a class travels once for
 many buckets; a large label is cut into blocks, and pairs of blocks go to tasks of their own. There
-every pair is verified on its full n-gram sets, and only links leave the task.
+every pair is verified on its full n-gram sets. Links are as many as the square of a group, so they
+do not leave the task: a class leaves with the number of its links and the first class that they
+lead to.
 """
 
 from __future__ import annotations
@@ -97,8 +99,8 @@ def _signed(docs: DataFrame, id_column: str, text: str, bands: int, rows: int) -
     return keyed.mapInArrow(run, f"id {kind}, t1 long, t2 long, grams long, name binary, bands array<long>")
 
 
-def links_within(sets: list[np.ndarray], side: np.ndarray | None, threshold: Fraction) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of sets with a Jaccard similarity of threshold or more; with sides, only pairs of different sides."""
+def links_within(sets: list[np.ndarray], side: np.ndarray | None, threshold: Fraction) -> np.ndarray:
+    """Matrix of pairs of sets with a Jaccard similarity of threshold or more; with sides, only pairs of different sides."""
     n = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
     if n <= 8:
@@ -125,45 +127,79 @@ def links_within(sets: list[np.ndarray], side: np.ndarray | None, threshold: Fra
     either = sizes[:, None] + sizes[None, :] - common
     linked = common * threshold.denominator >= threshold.numerator * either
     linked = np.triu(linked, 1)
+    linked |= linked.T
     if side is not None:
         linked &= side[:, None] != side[None, :]
-    return np.nonzero(linked)
+    return linked
+
+
+def met_before(label: int, labels: list[list[int]]) -> np.ndarray:
+    """Matrix of pairs that meet under a smaller label too, where their link is counted."""
+    smaller = [sorted({x for x in own if x < label}) for own in labels]
+    numbers = {x: i for i, x in enumerate(sorted({x for own in smaller for x in own}))}
+    marks = np.zeros((len(labels), max(len(numbers), 1)), np.float32)
+    for row, own in enumerate(smaller):
+        marks[row, [numbers[x] for x in own]] = 1
+    return marks @ marks.T > 0
+
+
+def first_reached(linked: np.ndarray) -> np.ndarray:
+    """The least number that each one is linked with, over any chain."""
+    least = np.arange(len(linked))
+    while True:
+        now = np.minimum(least, np.where(linked, least[None, :], len(linked)).min(axis=1))
+        now = now[now]
+        if (now == least).all():
+            return least
+        least = now
 
 
 def _verified(rows: DataFrame, threshold: Fraction) -> DataFrame:
-    """u, v: names of linked classes of each (label, low, high); rows come together and in order."""
+    """name, least, linked and linked_copies of each class with links under (label, low, high); rows come together and in order."""
     keys = ["label", "low", "high"]
     dealt = rows.repartition(*keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, names, blocks, sets = None, [], [], []
+        key, members, sets = None, [], []
 
         def links() -> Iterator[pa.RecordBatch]:
-            once = sorted({name: i for i, name in enumerate(names)}.items())  # repeated rows
+            once = sorted({m[0]: i for i, m in enumerate(members)}.items())  # repeated rows
             if len(once) < 2:
                 return
-            at = [i for _, i in once]
-            side = np.array([blocks[i] for i in at]) if key[1] != key[2] else None
-            a, b = links_within([sets[i] for i in at], side, threshold)
-            if len(a):
-                yield pa.RecordBatch.from_pydict({"u": pa.array([once[i][0] for i in a], pa.binary()), "v": pa.array([once[i][0] for i in b], pa.binary())})
+            own = [members[i] for _, i in once]
+            side = np.array([m[1] for m in own]) if key[1] != key[2] else None
+            linked = links_within([sets[i] for _, i in once], side, threshold)
+            some = np.flatnonzero(linked.any(axis=1))
+            if not len(some):
+                return
+            counted = linked & ~met_before(key[0], [m[3] for m in own])
+            copies = np.array([m[2] for m in own], np.int64)
+            least = first_reached(linked)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([own[i][0] for i in some], pa.binary()),
+                    pa.array([own[i][0] for i in least[some]], pa.binary()),
+                    pa.array(counted.sum(axis=1)[some], pa.int64()),
+                    pa.array((counted @ copies)[some], pa.int64()),
+                ],
+                names=["name", "least", "linked", "linked_copies"],
+            )
 
         for whole in batches:
             for batch in pieces(whole, "text"):
                 found = gram_sets(batch.column("text"))
-                columns = [batch.column(c).to_pylist() for c in (*keys, "block", "name")]
-                for *now, block, name, grams in zip(*columns, found, strict=True):
-                    if now != key:
+                columns = [batch.column(c).to_pylist() for c in (*keys, "name", "block", "copies", "labels")]
+                for *row, grams in zip(*columns, found, strict=True):
+                    if row[:3] != key:
                         if key:
                             yield from links()
-                        key, names, blocks, sets = now, [], [], []
-                    names.append(name)
-                    blocks.append(block)
+                        key, members, sets = row[:3], [], []
+                    members.append(row[3:])
                     sets.append(grams)
         if key:
             yield from links()
 
-    return dealt.mapInArrow(run, "u binary, v binary")
+    return dealt.mapInArrow(run, "name binary, least binary, linked long, linked_copies long")
 
 
 def _first(id_: Column, t1: Column, t2: Column) -> Column:
@@ -185,23 +221,22 @@ def _grouped(docs: DataFrame, id_column: str, text: str, threshold: Fraction, re
     # Buckets that share a class take the least of their labels, so most pairs meet under one label only.
     near = met.groupBy("name").agg(F.min("label").alias("near"))
     relabelled = met.select("name", "band").join(near, "name").groupBy("band").agg(F.min("near").alias("label"))
-    labels = written(met.select("name", "band").join(relabelled, "band").select("name", "label").distinct().join(classes.select("name", "grams", "first"), "name"))
+    own = met.select("name", "band").join(relabelled, "band").groupBy("name").agg(F.collect_set("label").alias("labels"))  # one for each band at most
+    labels = written(own.join(classes, "name").withColumn("label", F.explode("labels")))
     sizes = labels.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / block_classes), F.ceil(F.sum("grams") / block_grams)).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("name", F.lit(7)), F.col("blocks")).cast("int")
     placed = labels.join(sizes, "label").withColumn("block", block)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    placed = placed.select("name", "first", "label", "block", other)
-    placed = placed.select("name", F.col("first.*"), "label", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    placed = placed.select("name", "first", "copies", "labels", "label", "block", other)
+    placed = placed.select("name", F.col("first.*"), "copies", "labels", "label", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
 
     texts = docs.select(F.col(f"`{id_column}`").alias("id_"), *[k.alias(n) for k, n in zip(text_key(F.col(f"`{text}`")), ("t1_", "t2_"), strict=True)], F.col(f"`{text}`").alias("text"))
     same = F.col("id_").eqNullSafe(F.col("id")) & (F.col("t1_") == F.col("t1")) & (F.col("t2_") == F.col("t2"))
-    met_texts = texts.join(placed.hint("shuffle_hash"), same).select("label", "low", "high", "block", "name", "text")
-    links = written(_verified(met_texts, threshold).distinct())
+    met_texts = texts.join(placed.hint("shuffle_hash"), same).select("label", "low", "high", "block", "name", "copies", "labels", "text")
+    links = written(_verified(met_texts, threshold))
 
-    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    weights = classes.select(F.col("name").alias("v"), "copies")
-    degrees = both.join(weights, "v").groupBy(F.col("u").alias("name")).agg(F.count("*").alias("linked"), F.sum("copies").alias("linked_copies"))
-    roots = components(links).withColumnRenamed("node", "name")
+    degrees = links.groupBy("name").agg(F.sum("linked").alias("linked"), F.sum("linked_copies").alias("linked_copies"))
+    roots = components(links.select(F.col("name").alias("u"), F.col("least").alias("v"))).withColumnRenamed("node", "name")
     info = classes.drop("grams").join(degrees, "name", "left").join(roots, "name", "left").withColumn("root", F.coalesce("root", "name"))
     info = written(info)
     heads = info.groupBy("root").agg(F.min("first").alias("head"))
