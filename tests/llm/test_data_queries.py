@@ -40,7 +40,7 @@ def test_pipeline(spark):
     names = list(stages)
     kept = {}
     for name in names[:4]:
-        docs = stages[name](spark, docs, SF_DIR).localCheckpoint()
+        docs = stages[name](spark, docs, SF_DIR).checkpoint()
         assert docs.columns == columns
         kept[name] = {r.doc_id: r.text for r in docs.collect()}
     verdicts = {r.doc_id for r in queries.op3_quality_rules(spark, SF_DIR).where("kept").collect()}

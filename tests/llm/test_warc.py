@@ -39,8 +39,8 @@ def test_round_trip(spark):
 def test_members_and_index(spark):
     folder = shared_folder(spark)
     pages = warc.with_originals(spark.createDataFrame(ROWS, SCHEMA)).coalesce(1)
-    whole = warc.write_archives(pages, folder + "/a", file_bytes=4000).localCheckpoint()
-    files = warc.normalise(whole, folder + "/b").localCheckpoint().collect()
+    whole = warc.write_archives(pages, folder + "/a", file_bytes=4000).checkpoint()
+    files = warc.normalise(whole, folder + "/b").checkpoint().collect()
     assert sum(r.records for r in files) == len(ROWS) and len(files) > 1
     local = fs.LocalFileSystem()
     before = b"".join(sorted(gzip.decompress(local.open_input_file(r.path).read()) for r in whole.collect()))
