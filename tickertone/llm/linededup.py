@@ -45,7 +45,7 @@ def spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, id_column: str = "
     error = NEAR * 1.04 / math.sqrt(1 << SKETCH_BITS)
     low, high = min(min_sites * (1 - error), min_sites - 1), max(min_sites * (1 + error), min_sites + 1)
     estimated = counted.where(F.col("n") >= min_sites).select("h1", "h2", "home", F.hll_sketch_estimate("sketch").alias("sites"))
-    estimated = written(estimated.where(F.col("sites") >= low))
+    estimated = written(estimated.where(F.col("sites") >= low), small=True)
     near = estimated.where(F.col("sites") <= high)
     exact = (
         lines.join(near.select("h1", "h2"), ["h1", "h2"], "left_semi")
@@ -70,7 +70,7 @@ def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, id_column:
     docs = docs.drop("n_lines", "n_removed")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     keyed = docs.select(*columns, *[k.alias(f"__{n}") for k, n in zip(text_key(F.col("text")), ("t1", "t2"), strict=True)])
-    spread = written(spread_lines(docs, min_sites, id_column, site))
+    spread = written(spread_lines(docs, min_sites, id_column, site), small=True)
     marked = _occurrences(
         docs, F.coalesce(F.col(f"`{id_column}`"), F.lit(0)).alias("__id"), F.col(f"`{id_column}`").isNull().alias("__none"), *[k.alias(f"__{k_}") for k, k_ in zip(text_key(F.col("text")), ("t1", "t2"), strict=True)]
     )

@@ -159,9 +159,9 @@ def certified_cutoffs(
     sums = F.transform(F.sequence(F.lit(STEPS - 1), F.lit(1), F.lit(-1)), rejected)
     trials = total(F.col("counts"), "good")
     table = table.select("stratum", "rule", trials.alias("n"), sums.alias("cuts"))
-    strata = F.broadcast(table.agg(F.greatest(F.count_distinct("stratum"), F.lit(1)).alias("strata")))  # one row
-    table = table.crossJoin(strata)
-    bar = F.log(F.lit(max_chance / len(rules)) / F.col("strata"))
+    table = written(table, small=True)
+    strata = max(1, table.select("stratum").distinct().count())
+    bar = F.lit(math.log(max_chance / len(rules) / strata))
     passed = F.transform(
         "cuts",
         # Past the expected number of losses the test cannot succeed.
@@ -209,7 +209,7 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, id_column: str = "doc_i
     measured = written(with_measures(docs).select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{lang}`").alias("lang"), "measures"))
     marks = labels.withColumnRenamed(id_column, "id")
     holdout = labelled(measured, marks, "id", label).withColumn("stratum", _stratum("lang"))
-    return with_verdicts(measured, written(certified_cutoffs(holdout)))
+    return with_verdicts(measured, written(certified_cutoffs(holdout), small=True))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", lang: str = "lang", label: str = "quality") -> DataFrame:
@@ -219,5 +219,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", lan
     whole texts are not shuffled.
     """
     holdout = labelled(docs, labels, id_column, label).withColumn("stratum", _stratum(lang))
-    cutoffs = written(certified_cutoffs(with_measures(holdout, into="measures")))
+    cutoffs = written(certified_cutoffs(with_measures(holdout, into="measures")), small=True)
     return with_verdicts(with_measures(docs), cutoffs, lang).where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])

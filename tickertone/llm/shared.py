@@ -20,11 +20,15 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, small: bool = False) -> DataFrame:
     """The rows written once to the shared folder and read from there, so that lost tasks do not repeat the work before.
 
-    The reader knows the size in bytes, by which Spark itself decides on a broadcast.
+    The reader knows the size in bytes, by which Spark itself decides on a broadcast. small is for
+    results that are far fewer than the rows they come from: they go to as many files as the cluster
+    has cores, not to one for each shuffle partition.
     """
+    if small:
+        df = df.repartition(df.sparkSession.sparkContext.defaultParallelism)
     path = f"{shared_folder(df.sparkSession)}/table"
     df.write.parquet(path)
     # Spark deletes the shuffle files of a finished job when the driver collects what refers to them.

@@ -201,7 +201,7 @@ def repeated_windows(
     distinct = found.groupBy("name", "words").agg(F.count("*").alias("weight"), F.min(F.struct("k1", "k2", "place")).alias("source"))
     distinct = written(distinct)
     hot = distinct.groupBy("name").agg(F.ceil(F.count("*") / hot_segments).cast("int").alias("buckets"))
-    hot = written(hot.where("buckets > 1"))
+    hot = written(hot.where("buckets > 1"), small=True)
     size = distinct.agg(F.sum(F.col("source.place").bitwiseAND(255) + window - 1)).first()[0] or 0
     shards = max(1, -(-size // shard_words))
     wanted = F.struct("source.place", "words", "weight", "name", F.coalesce("buckets", F.lit(1)).alias("buckets"))

@@ -47,7 +47,7 @@ def with_originals(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> Data
     """
     rows = pages.select("page_id", "url", "html", *payload_columns(F.col("html")))
     shared = rows.where(F.col("n_bytes") >= min_bytes).groupBy("digest").agg(F.count("*").alias("n"), F.min("page_id").alias("first"))
-    shared = written(shared.where((F.col("n") > 1) & F.col("first").isNotNull()).drop("n"))
+    shared = written(shared.where((F.col("n") > 1) & F.col("first").isNotNull()).drop("n"), small=True)
     joined = rows.join(shared, "digest", "left")
     is_revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")) & (F.col("n_bytes") >= min_bytes)
     return joined.select("page_id", "url", "html", "digest", "n_bytes", F.when(is_revisit, F.col("first")).alias("original"))
