@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -211,8 +212,9 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: s
     tokens = chosen_tokens(token_counts(rows), sizes[True], sizes[False])
     features = [t for t, _, _ in tokens]
     table = present(rows, features).toArrow()  # max_rows rows of MAX_FEATURES numbers at most
-    offsets = table.column("found").combine_chunks()
-    found = [np.asarray(x, np.int64) for x in offsets.to_pylist()]
+    lists = table.column("found").combine_chunks()
+    ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    found = np.split(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), ends[:-1])
     toxic = table.column("toxic").to_numpy().astype(float)
     voting = voters(tokens, found, toxic)
     place = np.full(len(features), -1)
