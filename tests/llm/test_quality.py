@@ -69,6 +69,8 @@ def test_cutoffs_keep_their_promise(spark, docs):
     assert not any(kept[3000 + i] for i in range(200)) and not kept[5000]  # the rule holds for unlabelled rows too
     assert all(kept[4000 + i] for i in range(20)) and kept[5001]  # too few holdouts to promise anything
     assert not kept[5002]
+    clash = docs(rows).withColumns({"measures": F.lit(1), "kept": F.lit("x"), "good": F.lit(2), "stratum": F.lit(3)})
+    assert quality.keep_good(clash, labels).columns == clash.columns
     stayed = quality.keep_good(docs(rows), labels)
     assert stayed.columns == docs([]).columns
     assert sorted(str(r.doc_id) for r in stayed.collect()) == sorted(str(i) for i, k in kept.items() if k)

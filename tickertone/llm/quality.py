@@ -88,19 +88,17 @@ def with_measures(docs: DataFrame, text: str = "text", into: str = "measures") -
         )
 
     words = F.filter(F.split(content, SPACE_PATTERN), lambda w: w != "")
-    inner = let(words, counts)
-    return docs.withColumn(
-        into,
-        let(
-            inner,
-            lambda m: F.struct(
-                *[m[c].alias(c) for c in ("n_words", "n_distinct_words", "word_chars", "n_symbols", "n_upper", "n_repeat_words")],
-                m["lines"]["all"].cast("long").alias("n_lines"),
-                (m["lines"]["all"] - m["lines"]["distinct"]).cast("long").alias("n_dup_lines"),
-                ((m["n_words"] < 10) | (100 * m["n_repeat_words"] > 20 * m["n_words"])).alias("base_failed"),
-            ),
-        ),
-    )
+
+    def finished(m: Column) -> Column:
+        return F.struct(
+            *[m[c].alias(c) for c in ("n_words", "n_distinct_words", "word_chars", "n_symbols", "n_upper", "n_repeat_words")],
+            m["lines"]["all"].cast("long").alias("n_lines"),
+            (m["lines"]["all"] - m["lines"]["distinct"]).cast("long").alias("n_dup_lines"),
+            ((m["n_words"] < 10) | (100 * m["n_repeat_words"] > 20 * m["n_words"])).alias("base_failed"),
+        )
+
+    # A generator's result is a column like any other to the optimizer: filters on it do not compute it again below.
+    return docs.select("*", F.explode(F.array(let(let(words, counts), finished))).alias(into))
 
 
 def _level(measure: Column) -> Column:
@@ -192,11 +190,11 @@ def _kept(measures: str = "measures") -> Column:
     return kept
 
 
-def with_verdicts(measured: DataFrame, cutoffs: DataFrame, lang: str = "lang") -> DataFrame:
+def with_verdicts(measured: DataFrame, cutoffs: DataFrame, lang: str = "lang", measures: str = "measures", into: str = "kept") -> DataFrame:
     """measured with a boolean kept: false where a base rule fails or a certified cutoff is passed."""
     cuts = cutoffs.select(F.col("stratum").alias("__stratum"), *[F.col(r).alias(f"cut_{r}") for r in RULES])
     joined = measured.join(cuts, _stratum(lang) == F.col("__stratum"), "left")
-    return joined.withColumn("kept", _kept()).drop("__stratum", *[f"cut_{r}" for r in RULES])
+    return joined.withColumn(into, _kept(measures)).drop("__stratum", *[f"cut_{r}" for r in RULES])
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", lang: str = "lang", label: str = "quality") -> DataFrame:
@@ -218,6 +216,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", lan
     Only labelled rows are measured for the cutoffs; then every row is measured where it stands, so
     whole texts are not shuffled.
     """
-    holdout = labelled(docs, labels, id_column, label).withColumn("stratum", _stratum(lang))
-    cutoffs = written(certified_cutoffs(with_measures(holdout, into="measures")), small=True)
-    return with_verdicts(with_measures(docs), cutoffs, lang).where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    holdout = labelled(docs.select(F.col(f"`{id_column}`"), F.col(f"`{lang}`"), "text"), labels, id_column, label).withColumn("stratum", _stratum(lang))
+    cutoffs = written(certified_cutoffs(with_measures(holdout.select("stratum", "good", "text"))), small=True)
+    verdicts = with_verdicts(with_measures(docs, into="__measures"), cutoffs, lang, "__measures", "__kept")
+    return verdicts.where("__kept").select(*[F.col(f"`{c}`") for c in docs.columns])
