@@ -39,7 +39,7 @@ class Targets:
     )
     language_shares: dict[str, float] = field(default_factory=dict)
     topic_shares: dict[str, float] = field(default_factory=dict)
-    flatten: float = 0.7
+    flatten: float = 0.9
     max_passes: int = 50
     tolerance: float = 1e-6
 
