@@ -80,3 +80,23 @@ def test_wavelet_ranks(values):
         places = np.arange(len(sequence) + 1)
         ranks = matrix.rank(np.full(len(places), symbol), places)
         assert ranks.tolist() == [0, *np.cumsum(sequence == symbol).tolist()]
+
+
+def test_equal_windows_of_a_hot_minimiser_are_one_entry(docs, monkeypatch):
+    passage = [f"p{k}" for k in range(60)]
+    rows = [(i, " ".join([f"a{i}_{k}" for k in range(30)] + passage + [f"z{i}_{k}" for k in range(30)])) for i in range(200)]
+    dealt, marked = [], substring._marked
+
+    def held(table, window):
+        dealt.extend(table.collect())
+        return marked(table, window)
+
+    monkeypatch.setattr(substring, "_marked", held)
+    found = substring.without_repeats(docs(rows), hot_segments=20, shard_words=200).collect()
+    assert sorted([(r.id, r.n_words, r.n_removed, r.kept) for r in found], key=str) == brute(rows, 35)
+    texts = Counter(r.text for r in dealt)
+    assert max(texts.values()) == 1
+    shards = Counter()
+    for r in dealt:
+        shards[r.shard] += len(r.text.split())
+    assert len(shards) > 1 and max(shards.values()) <= 1000

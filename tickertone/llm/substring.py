@@ -6,7 +6,9 @@ windows have equal minimisers, so segments are dealt by minimiser. One whose min
 in the corpus has no repeated window and is left out before any text moves. Segments with the same
 words are one, with a weight. Each shard gets an index over its segments; the segments are streamed
 through it, and matching statistics of a window's length and of weight two or more mark the windows
-that repeat. A minimiser with very many different segments is dealt again window by window.
+that repeat. The segments of a minimiser with very many different ones are cut into windows: equal
+windows are one, with a weight, before any text moves, those of weight two or more are dealt one by
+one, and their marks are joined back to the segments by the window.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from tickertone.llm.shared import written
 from tickertone.llm.text import _ODD_WORDS, _power_tables, mixed, pieces, run_hashes, text_bytes, word_hashes, word_spans
 
 WINDOW, SEED = 35, 8
-#: Words of one index, and different segments of one minimiser from which on its windows are dealt one by one.
+#: Words of one index, and different segments of one minimiser from which on its windows are folded and dealt one by one.
 SHARD_WORDS, HOT_SEGMENTS = 1 << 20, 4096
 #: Windows of one segment at most: its marks are the bits of a long.
 _MARKS = 60
@@ -88,8 +90,8 @@ def _row_spans(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return data, *word_spans(data, offsets)
 
 
-def _segments(keyed: DataFrame, window: int, seed: int) -> DataFrame:
-    """k1, k2, place (first word << 8 | windows), name (of the minimiser) and words (a hash) of each segment."""
+def _segments(keyed: DataFrame, window: int, seed: int, each: bool = False) -> DataFrame:
+    """k1, k2, place (first word << 8 | windows), name (of the minimiser) and words (a hash) of each segment; with each, a hash of each of its windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -103,18 +105,27 @@ def _segments(keyed: DataFrame, window: int, seed: int) -> DataFrame:
                 hashes = mixed((total[heads + sizes + window - 1] - total[heads]) * inverse[heads])
                 row = np.searchsorted(first, heads, side="right") - 1
                 place = (heads - first[row]) << 8 | sizes
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("k1").take(pa.array(row)), batch.column("k2").take(pa.array(row)), pa.array(place), pa.array(names.view(np.int64)), pa.array(hashes.view(np.int64))],
-                    names=["k1", "k2", "place", "name", "words"],
-                )
+                columns = [batch.column("k1").take(pa.array(row)), batch.column("k2").take(pa.array(row)), pa.array(place), pa.array(names.view(np.int64)), pa.array(hashes.view(np.int64))]
+                if each:
+                    cuts = np.append(0, np.cumsum(sizes))
+                    at = np.repeat(heads - cuts[:-1], sizes) + np.arange(cuts[-1])
+                    columns.append(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(run_hashes(words, window)[at].view(np.int64))))
+                yield pa.RecordBatch.from_arrays(columns, names=["k1", "k2", "place", "name", "words", "each"][: len(columns)])
+
+    return keyed.select("k1", "k2", "text").mapInArrow(run, f"k1 long, k2 long, place long, name long, words long{', each array<long>' if each else ''}")
+
 
-    return keyed.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, place long, name long, words long")
+def _hot_windows(keyed: DataFrame, hot: DataFrame, window: int, seed: int) -> DataFrame:
+    """name, words, offset and one (its hash) of each window of each different segment of the hot minimisers, with the segment's weight and source."""
+    found = _segments(keyed, window, seed, each=True).join(hot.select("name"), "name")
+    distinct = found.groupBy("name", "words").agg(F.count("*").alias("weight"), F.min(F.struct("k1", "k2", "place", "each")).alias("source"))
+    return written(distinct.select("name", "words", "weight", "source.k1", "source.k2", "source.place", F.posexplode("source.each").alias("offset", "one")))
 
 
 def _texts(rows: DataFrame, window: int, shards: int) -> DataFrame:
-    """shard, words, offset, windows, weight and the text of each segment, or of each window of a hot one.
+    """shard, name, words, hot, windows, weight and the text of each segment or hot window.
 
-    rows have text and wanted: structs of place, words, weight, name and buckets.
+    rows have text and wanted: structs of place, words, weight, name and hot.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,18 +136,13 @@ def _texts(rows: DataFrame, window: int, shards: int) -> DataFrame:
                     parts = text.encode().split()
                     for x in wanted:
                         at, count = x["place"] >> 8, x["place"] & 255
-                        if x["buckets"] == 1:
-                            out.append((x["name"] % shards, x["words"], 0, count, x["weight"], b" ".join(parts[at : at + count + window - 1])))
-                            continue
-                        for i in range(count):
-                            one = b" ".join(parts[at + i : at + i + window])
-                            bucket = int.from_bytes(hashlib.blake2b(one, digest_size=8).digest(), "little") % x["buckets"]
-                            out.append(((x["name"] + bucket) % shards, x["words"], i, 1, x["weight"], one))
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
-                columns = zip(*out, strict=True) if out else [[]] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["shard", "words", "offset", "windows", "weight", "text"])
+                        shard = (x["name"] + x["words"] * x["hot"]) % shards
+                        out.append((shard, x["name"], x["words"], x["hot"], count, x["weight"], b" ".join(parts[at : at + count + window - 1])))
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.binary())
+                columns = zip(*out, strict=True) if out else [[]] * 7
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["shard", "name", "words", "hot", "windows", "weight", "text"])
 
-    return rows.select("text", "wanted").mapInArrow(run, "shard long, words long, offset int, windows int, weight long, text binary")
+    return rows.select("text", "wanted").mapInArrow(run, "shard long, name long, words long, hot boolean, windows int, weight long, text binary")
 
 
 def repeated_in(texts: list[bytes], windows: np.ndarray, weights: np.ndarray, window: int) -> np.ndarray:
@@ -152,7 +158,7 @@ def repeated_in(texts: list[bytes], windows: np.ndarray, weights: np.ndarray, wi
 
 
 def _marked(dealt: DataFrame, window: int) -> DataFrame:
-    """words and marks of each segment or window with a repeat; the rows of a shard come together."""
+    """name, words, hot and marks of each segment or hot window with a repeat; the rows of a shard come together."""
     ordered = dealt.repartition("shard").sortWithinPartitions("shard")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,25 +168,24 @@ def _marked(dealt: DataFrame, window: int) -> DataFrame:
             keys, entries = list(held), list(held.values())
             marks = repeated_in([x[0] for x in entries], np.array([x[1] for x in entries]), np.array([x[2] for x in entries]), window)
             some = np.flatnonzero(marks)
-            words = np.array([keys[i][0] for i in some], np.int64)
-            shift = np.array([keys[i][1] for i in some], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(marks[some] << shift)], names=["words", "marks"])
+            columns = [pa.array([keys[i][k] for i in some], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(marks[some])], names=["name", "words", "hot", "marks"])
 
         for batch in ordered_columns(batches):
-            for now, words, offset, windows, weight, text in batch:
+            for now, name, words, hot, windows, weight, text in batch:
                 if now != shard:
                     if held:
                         yield from found()
                     shard, held = now, {}
-                held[words, offset, windows] = (text, windows, weight)  # rows that stand twice in docs give a segment twice
+                held[name, words, hot] = (text, windows, weight)  # rows that stand twice in docs give a segment twice
         if held:
             yield from found()
 
     def ordered_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[zip]:
         for batch in batches:
-            yield zip(*(batch.column(c).to_pylist() for c in ("shard", "words", "offset", "windows", "weight", "text")), strict=True)
+            yield zip(*(batch.column(c).to_pylist() for c in ("shard", "name", "words", "hot", "windows", "weight", "text")), strict=True)
 
-    return ordered.mapInArrow(run, "words long, marks long")
+    return ordered.mapInArrow(run, "name long, words long, hot boolean, marks long")
 
 
 def repeated_windows(
@@ -194,21 +199,33 @@ def repeated_windows(
 ) -> DataFrame:
     """k1, k2 (see _keyed) and spots: structs of place and marks, the repeated windows of a document's segments."""
     keyed = _keyed(docs, id_column, text)
-    found = _segments(keyed, window, min(seed, window))
+    seed = min(seed, window)
+    found = _segments(keyed, window, seed)
     # Count first: only segments whose minimiser stands twice move on.
     shared = found.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
     found = written(found.join(shared, "name"))
     distinct = found.groupBy("name", "words").agg(F.count("*").alias("weight"), F.min(F.struct("k1", "k2", "place")).alias("source"))
     distinct = written(distinct)
-    hot = distinct.groupBy("name").agg(F.ceil(F.count("*") / hot_segments).cast("int").alias("buckets"))
-    hot = written(hot.where("buckets > 1"), small=True)
-    size = distinct.agg(F.sum(F.col("source.place").bitwiseAND(255) + window - 1)).first()[0] or 0
+    hot = written(distinct.groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") > hot_segments), small=True)
+    dealt = distinct.select("name", "words", "weight", "source.*", F.lit(False).alias("hot"))
+    spread = hot.first() is not None
+    if spread:
+        cut = _hot_windows(keyed, hot, window, seed)
+        one = F.struct("k1", "k2", F.shiftleft(F.shiftright("place", 8) + F.col("offset"), 8).bitwiseOR(F.lit(1)).alias("place"))
+        # Count first: a window that stands alone has no repeat.
+        repeated = cut.groupBy("name", F.col("one").alias("words")).agg(F.sum("weight").alias("weight"), F.min(one).alias("source")).where("weight > 1")
+        repeated = written(repeated)
+        dealt = dealt.join(hot.select("name"), "name", "left_anti").unionByName(repeated.select("name", "words", "weight", "source.*", F.lit(True).alias("hot")))
+    size = dealt.agg(F.sum(F.col("place").bitwiseAND(255) + window - 1)).first()[0] or 0
     shards = max(1, -(-size // shard_words))
-    wanted = F.struct("source.place", "words", "weight", "name", F.coalesce("buckets", F.lit(1)).alias("buckets"))
-    by_text = distinct.join(hot, "name", "left").groupBy(F.col("source.k1").alias("k1"), F.col("source.k2").alias("k2")).agg(F.collect_list(wanted).alias("wanted"))
+    by_text = dealt.groupBy("k1", "k2").agg(F.collect_list(F.struct("place", "words", "weight", "name", "hot")).alias("wanted"))
     sources = keyed.join(by_text.hint("shuffle_hash"), ["k1", "k2"])
-    marks = written(_marked(_texts(sources, window, shards), window).groupBy("words").agg(F.bit_or("marks").alias("marks")))
-    return found.join(marks, "words").groupBy("k1", "k2").agg(F.collect_set(F.struct("place", "marks")).alias("spots"))
+    marks = written(_marked(_texts(sources, window, shards), window).groupBy("name", "words", "hot").agg(F.bit_or("marks").alias("marks")))
+    if spread:
+        back = cut.join(marks.where("hot").select("name", F.col("words").alias("one")), ["name", "one"])
+        back = back.groupBy("name", "words").agg(F.bit_or(F.expr("shiftleft(1L, offset)")).alias("marks"))
+        marks = marks.where(~F.col("hot")).select("name", "words", "marks").unionByName(back)
+    return found.join(marks.select("name", "words", "marks"), ["name", "words"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("place", "marks")).alias("spots"))
 
 
 def without_repeats(
