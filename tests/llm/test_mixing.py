@@ -75,3 +75,52 @@ def test_sample_follows_the_probabilities(docs):
 def test_no_documents_or_no_words(docs):
     assert mixing.with_sampling(docs([])).collect() == []
     assert [(r.weight, r.probability, r.sampled) for r in mixing.with_sampling(docs([None, ""])).collect()] == [(0.0, 0.0, False)] * 2
+
+
+def monolingual(mixed=0):
+    """Skewed sources of one language each (mixed of them have a little of another), with topics."""
+    rows = []
+    for s in range(60):
+        own = "en" if s % 4 else ("de", "fr", "es")[s // 4 % 3]
+        for t, mark in enumerate(("", " licence", " {x}")):
+            rows.append((len(rows), "word " * (4000 // (s + 1) + 7 * (s * (t + 1) % 11) + 1) + mark, own, f"s{s}"))
+        if s < mixed:
+            rows.append((len(rows), "word " * 3, "de" if own == "en" else "en", f"s{s}"))
+    return rows
+
+
+def shares(rows, side):
+    out = {}
+    for r in rows:
+        out[r[side]] = out.get(r[side], 0) + r.n_tokens * r.weight
+    return out
+
+
+@pytest.mark.parametrize("mixed", [0, 3])
+def test_default_targets_are_met_by_sources_of_one_language(docs, mixed):
+    targets = mixing.Targets()
+    table = docs(monolingual(mixed))
+    cells = mixing.with_cells(table, targets).groupBy("__source", "__language", "__topic").agg(F.sum("__tokens").alias("tokens"))
+    fitted = mixing.fit(cells, targets)
+    assert fitted.error <= targets.tolerance and fitted.passes < targets.max_passes
+    found = mixing.with_sampling(table, targets).collect()
+    flat = {}
+    for r in cells.collect():
+        for key in (("lang", r["__language"]), ("source", r["__source"])):
+            flat[key] = flat.get(key, 0) + r.tokens**0.9
+    for side in ("lang", "source"):
+        total = sum(n for (s, _), n in flat.items() if s == side)
+        for key, share in shares(found, side).items():
+            assert share == pytest.approx(flat[side, key] / total, abs=1e-5)
+
+
+def test_named_shares_are_met_by_sources_of_one_language(docs):
+    targets = mixing.Targets(language_shares={"en": 0.5, "de": 0.3})
+    found = shares(mixing.with_sampling(docs(monolingual()), targets).collect(), "lang")
+    assert found["en"] == pytest.approx(0.5, abs=1e-5) and found["de"] == pytest.approx(0.3, abs=1e-5)
+
+
+def test_shares_that_contradict_each_other_are_an_error(docs):
+    rows = [(0, "word " * 50, "en", "a"), (1, "word " * 20 + "{x}", "de", "b")]
+    with pytest.raises(ValueError, match="missed by up to"):
+        mixing.with_sampling(docs(rows), mixing.Targets(language_shares={"de": 0.2}, topic_shares={"code": 0.6}))
