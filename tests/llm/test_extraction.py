@@ -65,3 +65,17 @@ def test_rows(spark, model):
     assert sorted(found.collect(), key=str) == sorted([(1, "u", body, len(body))] * 2 + [(2, None, "", 0), (3, "v", "", 0), (None, "w", body, len(body))], key=str)
     assert extraction.extract(table.limit(0), model).collect() == []
 
+
+
+def test_hidden_elements_that_are_not_closed():
+    assert texts("<html><head><meta charset=x><title>t</title><script>s</script><body><p>a<p>b</html>") == ["a", "b"]
+    assert texts("<head><title>t</title><link href=x><p>a</p>b") == ["a", "b"]
+    assert texts("<head><title>t</title><a href=x>a</a> b") == ["a b"]
+    assert texts("<head> \n <title>t</title> plain <p>a") == ["plain", "a"]
+    assert texts("<head><title>t</title></head><p>a") == ["a"]
+    assert texts("<body><select><option>o<p>a</p>b") == ["a", "b"]
+    assert texts("<body><select><option>o<div>a</div>b") == ["a", "b"]
+    for tag in ("svg", "object", "video", "audio", "canvas", "math"):
+        assert texts(f"<body><{tag}>no<p>a</p><div>b</div>") == ["a", "b"]
+        assert texts(f"<body><div><{tag}>no</div><p>a</p>") == ["a"]
+        assert texts(f"<body><{tag}><p>no</p></{tag}><p>a</p>") == ["a"]

@@ -25,6 +25,10 @@ BLOCKS = frozenset(
 )
 _CLOSED_BY_THEIR_LIKE = frozenset("p li dd dt td th tr option".split())
 _HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that may stand in a head; all others and text end it.
+_IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+#: Blocks and hidden elements that may stand in a list of options; others end it.
+_IN_OPTIONS = frozenset("option button div hr legend script template noscript svg".split())
 
 
 @dataclass
@@ -56,7 +60,9 @@ def leaf_blocks(page: str | None) -> list[Block]:
     """Blocks of a page in order; markup that is not closed counts to the end of what holds it.
 
     Comments, hidden elements and elements without page text are left out. A line break is white
-    space. Each run of white space becomes one space.
+    space. Each run of white space becomes one space. A head ends at the first element or text that
+    may not stand in it, a list of options at a block that may not. A hidden element that the rest of
+    the page does not close ends with what holds it, or at the next block.
     """
     page = page or ""
     blocks: list[Block] = []
@@ -75,6 +81,30 @@ def leaf_blocks(page: str | None) -> list[Block]:
         parts.clear()
         linked, link = 0, False
 
+    last: dict[str, int] = {}
+
+    def is_closed(tag: str, at: int) -> bool:
+        """Whether an end tag of the element stands behind a place."""
+        if tag not in last:
+            last[tag] = max((x.start() for x in re.finditer(rf"</{tag}[\s/>]", page, re.I)), default=-1)
+        return last[tag] >= at
+
+    def leave(tag: str, at: int) -> None:
+        """End the open hidden elements that an element which begins here shows to be over."""
+        for i, (open_, *_, hidden) in enumerate(stack):
+            if not hidden or open_ not in HIDDEN:
+                continue
+            if open_ == "head":
+                over = tag not in _IN_HEAD
+            elif open_ in ("select", "datalist"):
+                over = tag in BLOCKS | HIDDEN and (tag not in _IN_OPTIONS or tag in ("div", "button") and not is_closed(open_, at))
+            else:
+                over = tag in BLOCKS and not is_closed(open_, at)
+            if over:
+                flush()
+                del stack[i:]
+                return
+
     def close(tag: str) -> None:
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] == tag:
@@ -86,6 +116,8 @@ def leaf_blocks(page: str | None) -> list[Block]:
         found = _TAG.search(page, at)
         to = found.start() if found else end
         if to > at:
+            if stack and stack[-1][0] == "head" and not page[at:to].isspace():
+                leave("", at)
             parts.append(page[at:to])
             linked += (to - at) * link
         if not found:
@@ -109,12 +141,16 @@ def leaf_blocks(page: str | None) -> list[Block]:
             continue
         tag = found[3].lower()
         if found[2]:
+            if tag in ("body", "html"):
+                leave(tag, at)
             if tag in BLOCKS or tag in HIDDEN:
                 flush()
                 close(tag)
             elif tag == "a":
                 link = False
             continue
+        if stack:
+            leave(tag, found.start())
         if tag == "a":
             link = True
             continue
