@@ -31,15 +31,12 @@ def phrase_table(items: DataFrame, size: int = PHRASE_WORDS, id_column: str = "i
     """Different phrases (phrase, words) and which items hold them (phrase, item), both written.
 
     A phrase is a run of size consecutive words of an item, or all words of an item with fewer; it is
-    numbered by a hash of 64 bits of its words that other phrases of the table do not share.
+    a number from here on.
     """
     listed = items.select(F.col(f"`{id_column}`").alias("item"), words_of(F.col(f"`{text_column}`")).alias("all"))
     starts = F.sequence(F.lit(1), F.greatest(F.size("all") - size + 1, F.lit(1)))
     runs = listed.where(F.size("all") > 0).select("item", F.explode(F.transform(starts, lambda i: F.slice("all", i, size))).alias("words"))
-    phrases = runs.groupBy("words").agg(F.lit(1).alias("one")).withColumn("h", F.xxhash64("words"))
-    # Two phrases of one hash, which 64 bits make very rare, get different numbers below the hash.
-    rank = F.row_number().over(Window.partitionBy("h").orderBy("words"))
-    phrases = written(phrases.select(F.concat_ws(".", F.hex("h"), rank.cast("string")).alias("phrase"), "words"), small=True)
+    phrases = written(runs.select("words").distinct().select(F.monotonically_increasing_id().alias("phrase"), "words"), small=True)
     held = written(runs.join(phrases, "words").where("item IS NOT NULL").select("phrase", "item").distinct(), small=True)
     return phrases, held
 
@@ -90,19 +87,19 @@ def phrase_matches(index: DataFrame, places: DataFrame) -> DataFrame:
 
     postings = index.select("doc", "position", "term")
     # First lists: possible starts from the rarest term.
-    first = places.select("phrase", "size", *place(0))
+    first = written(places.select("phrase", "size", *place(0)), small=True)
     starts = postings.join(first, "term").select("doc", (F.col("position") - F.col("offset")).alias("begin"), "size", "phrase").where("begin >= 1")
     # Second lists: the postings of the next rarest terms alone, at their offsets.
-    second = places.where("size > 1").select("phrase", *place(1))
+    second = written(places.where("size > 1").select("phrase", *place(1)), small=True)
     second_terms = written(second.select("term").distinct(), small=True)
     second_postings = postings.join(second_terms, "term", "left_semi")
     expected = starts.join(second, "phrase").withColumn("position", F.col("begin") + F.col("offset"))
     both = expected.join(second_postings, ["doc", "position", "term"], "left_semi").select("doc", "begin", "size", "phrase")
     both = written(both)
     # All others: each has to be where the phrase wants it. Only documents that still count are read on.
-    rest = places.where("size > 2").select("phrase", F.explode(F.slice("places", 3, 1 << 30)).alias("p")).select("phrase", "p.offset", "p.term")
+    rest = written(places.where("size > 2").select("phrase", F.explode(F.slice("places", 3, 1 << 30)).alias("p")).select("phrase", "p.offset", "p.term"), small=True)
     wanted = both.join(rest, "phrase").select("doc", "begin", "size", "phrase", (F.col("begin") + F.col("offset")).alias("position"), "term")
-    open_docs = written(both.where("size > 2").select("doc").distinct())
+    open_docs = written(both.where("size > 2").select("doc").distinct(), small=True)
     there = wanted.join(postings.join(open_docs, "doc", "left_semi"), ["doc", "position", "term"], "left_semi")
     full = there.groupBy("doc", "begin", "size", "phrase").agg(F.count("*").alias("n")).where("n = size - 2").drop("n")
     return starts.where("size = 1").unionByName(both.where("size = 2")).unionByName(full)
