@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tickertone.functions.display import DAY_LABEL, HOUR_LABEL
 from tickertone.functions.times import local_bucket
@@ -30,10 +30,16 @@ def bucket_grid(spark: SparkSession, as_of: datetime, unit: str, periods: int, z
 
 
 def sentiment_grid(
-    df: DataFrame, as_of: datetime, spec: tuple[str, int, str] = HOURLY, zone: str = LOCAL_ZONE
+    df: DataFrame,
+    as_of: datetime,
+    spec: tuple[str, int, str] = HOURLY,
+    zone: str = LOCAL_ZONE,
+    count: Column | None = None,
 ) -> DataFrame:
     """Stories per bucket and label. ``df`` may be the newest-N sample or the whole store.
 
+    ``count`` is how rows count, each as one if not given.
+
     Rows older than the grid are dropped before the conversion, by a bound on the raw publish
     time that a scan can use; one period is added, so the local bucket edge needs no second rule.
     """
@@ -42,7 +48,7 @@ def sentiment_grid(
     recent = published_since(df, as_of - reach)
     counts = recent.groupBy(
         local_bucket(F.col("published_at"), unit, zone).alias("bucket"), "sentiment"
-    ).agg(F.count("*").alias("n"))
+    ).agg((F.count("*") if count is None else count).alias("n"))
     grid = bucket_grid(df.sparkSession, as_of, unit, periods, zone)
     return grid.join(counts, ["bucket", "sentiment"], "left").select(
         "bucket",

@@ -34,9 +34,13 @@ def _zero(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(0)).cast("long").alias(name)
 
 
-def region_counts(df: DataFrame) -> DataFrame:
-    """Records of each feed, and of the whole store, from one scan of the region column."""
-    per_region = df.groupBy(feed_of(F.col("region")).alias("feed")).agg(F.count("*").alias("records"))
+def region_counts(df: DataFrame, count: Column | None = None) -> DataFrame:
+    """Records of each feed, and of the whole store, from one scan of the region column.
+
+    ``count`` is how rows count, each as one if not given.
+    """
+    records = F.count("*") if count is None else count
+    per_region = df.groupBy(feed_of(F.col("region")).alias("feed")).agg(records.alias("records"))
     both = per_region.agg(
         F.sum("records").alias("all_records"),
         *[F.sum(F.when(F.col("feed") == feed, F.col("records"))).alias(feed) for feed in FEEDS],

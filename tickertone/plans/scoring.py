@@ -13,6 +13,7 @@ from tickertone.operators.dedup import TITLE_KEY, keyed_new, with_title_key
 from tickertone.plans.requests import build_requests
 from tickertone.plans.scorers import Providers, Scorer, ask_providers
 from tickertone.schemas import HEADLINES_PER_REQUEST, NO_HEADLINE_MODEL, UNSCORED
+from tickertone.sources.ledger import ResponseLedger
 
 _SCORE_FIELDS = [("score", pa.int32()), ("label", pa.string()), ("model", pa.string())]
 _KEY_TYPES = {"seq": ("bigint", pa.int64()), "title": ("string", pa.string())}
@@ -23,40 +24,55 @@ def _layout(key: str) -> tuple[str, pa.Schema]:
     return f"{key} {sql}, score int, label string, model string", pa.schema([(key, arrow), *_SCORE_FIELDS])
 
 
-def run_scorer(requests: DataFrame, scorer: Scorer | Providers, key: str = "seq") -> DataFrame:
+def run_scorer(
+    requests: DataFrame,
+    scorer: Scorer | Providers,
+    key: str = "seq",
+    ledger: ResponseLedger | None = None,
+    batch: str = "",
+    tasks: int = 1,
+) -> DataFrame:
     """Call the scorer once per request row; one output row per headline.
 
     Only headlines, their keys and the region cross to Python, one Arrow batch at a time;
-    ``Providers`` get the request bodies as well.
+    ``Providers`` get the request bodies as well. With a ledger, requests that an earlier try of
+    ``batch`` has paid for are not asked again, and ``tasks`` may run at once.
     """
     layout, arrow_layout = _layout(key)
     keys = f"{key}s"
-    columns = ["region_key", keys, "headlines"]
+    content = ["region_key", "headlines"]
     if isinstance(scorer, Providers):
         requests = build_requests(requests)
-        columns += ["primary_payload", "fallback_payload", "credential_suffix"]
-        ask = ask_providers(scorer)
+        content += ["primary_payload", "fallback_payload", "credential_suffix"]
+        score = ask_providers(scorer)
     else:
 
-        def ask(request: dict) -> list[dict]:
+        def score(request: dict) -> list[dict]:
             return scorer(request["headlines"], request["region_key"] or None)
 
+    def ask(request: dict) -> list[dict]:
+        found = score(request)
+        if len(found) != len(request["headlines"]):
+            raise RuntimeError(f"scorer gave {len(found)} results for {len(request['headlines'])} headlines")
+        return found
+
+    if ledger:
+        answered = ledger.ask(requests.select(keys, *content), ask, content, batch, tasks)
+        each = answered.select(F.explode(F.arrays_zip(F.col(keys).alias("key"), F.col("results").alias("result"))).alias("e"))
+        return each.select(F.col("e.key").alias(key), "e.result.score", "e.result.label", "e.result.model")
+
     def score_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[dict] = []
             for request in batch.to_pylist():
                 found = ask(request)
-                if len(found) != len(request["headlines"]):
-                    raise RuntimeError(
-                        f"scorer gave {len(found)} results for {len(request['headlines'])} headlines"
-                    )
                 rows += [
                     {key: k, "score": r["score"], "label": r["sentiment"], "model": r["sentiment_model"]}
                     for k, r in zip(request[keys], found)
                 ]
             yield pa.RecordBatch.from_pylist(rows, schema=arrow_layout)
 
-    return requests.select(columns).mapInArrow(score_batches, layout)
+    return requests.select(keys, *content).mapInArrow(score_batches, layout)
 
 
 def score_requests(
@@ -66,6 +82,8 @@ def score_requests(
     size: int = HEADLINES_PER_REQUEST,
     tasks: int | None = None,
     block_bits: int = BLOCK_BITS,
+    ledger: ResponseLedger | None = None,
+    batch: str = "",
 ) -> DataFrame:
     """Scores by article key. ``tasks`` sets how many requests may run at once.
 
@@ -77,7 +95,7 @@ def score_requests(
     tasks = tasks or int(articles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # The grouping below reuses this partitioning, and AQE leaves its number of tasks alone.
     assigned = assigned.repartition(tasks, "region_key", "batch_no")
-    return run_scorer(form_requests(assigned, key), scorer, key)
+    return run_scorer(form_requests(assigned, key), scorer, key, ledger, batch, tasks)
 
 
 def no_scores(spark: SparkSession) -> DataFrame:

@@ -11,6 +11,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Title lookups give up to so many hashes to the scan; beyond this number only their range reaches it.
+    "spark.sql.parquet.pushdown.inFilterThreshold": "1000",
     # Python scorers see small request batches; text columns never cross to Python whole.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }

@@ -1,17 +1,22 @@
-"""Append-only store of scored articles, with a title index for dedup lookups.
+"""Append-only store of scored articles and what is kept beside it.
 
-``articles/`` is partitioned by feed and publish date, so panels read recent days of one feed.
-``titles/`` is the index of stored titles.
+``articles/`` is partitioned by feed and publish date, so panels read recent days of one feed, and
+below them by micro-batch, so that a batch that runs again overwrites what it wrote. ``titles/`` is
+the index of stored titles, ``counts/`` and ``newest/`` what the panels read, ``responses/`` the
+answers paid for by batches that are not done.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tickertone.functions.sentiment import feed_of
-from tickertone.operators.dedup import TITLE_KEY, title_keys
 from tickertone.schemas import SCORED
-from tickertone.sources.titles import BROADCAST_BYTES, BROADCAST_TITLES, TitleIndex
+from tickertone.sources.kept import KeptCounts, KeptNewest
+from tickertone.sources.ledger import ResponseLedger
+from tickertone.sources.titles import TitleIndex
 
 _ARTICLES = T.StructType(
     [
@@ -19,68 +24,68 @@ _ARTICLES = T.StructType(
         *SCORED.fields,
         T.StructField("feed", T.StringType()),
         T.StructField("published_date", T.DateType()),
+        T.StructField("batch", T.StringType()),
     ]
 )
 
+
+def batch_name(stream: str, number: int) -> str:
+    """Name of a micro-batch; ``stream`` tells the streams that have written to a store apart."""
+    return f"{stream or 'batch'}-{number:010d}"
+
+
 class ScoredStore:
-    def __init__(self, spark: SparkSession, root: str, buckets: int | None = None):
+    """``scorer_name`` tells the answers of one scorer from those of another."""
+
+    def __init__(self, spark: SparkSession, root: str, scorer_name: str = ""):
         self.spark, self.articles_path = spark, f"{root}/articles"
-        self.titles = TitleIndex(spark, f"{root}/titles", buckets)
+        self.titles = TitleIndex(spark, f"{root}/titles")
+        self.counts, self.newest = KeptCounts(spark, f"{root}/counts"), KeptNewest(spark, f"{root}/newest")
+        self.ledger = ResponseLedger(spark, f"{root}/responses", scorer_name)
         empty = spark.createDataFrame([], _ARTICLES)
-        empty.write.mode("ignore").partitionBy("feed", "published_date").parquet(self.articles_path)
+        empty.write.mode("ignore").partitionBy("feed", "published_date", "batch").parquet(self.articles_path)
 
     def articles(self) -> DataFrame:
         return self.spark.read.schema(_ARTICLES).parquet(self.articles_path)
 
-    def append(self, scored: DataFrame) -> None:
-        """Add scored articles. The rebalance splits a hot day over tasks and joins small ones."""
+    def append(self, scored: DataFrame, batch: str | None = None) -> None:
+        """Write the articles of a batch, in place of what an earlier try of it wrote.
+
+        The rebalance splits a hot day over tasks and joins small ones.
+        """
         laid_out = scored.select(
             "seq",
             *SCORED.names,
             feed_of(F.col("region")).alias("feed"),
             F.to_date("published_at").alias("published_date"),
+            F.lit(batch or uuid.uuid4().hex).alias("batch"),
         )
         (
             laid_out.hint("rebalance", "feed", "published_date")
             .sortWithinPartitions("feed", "published_date", "published_at")
-            .write.mode("append")
-            .partitionBy("feed", "published_date")
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("feed", "published_date", "batch")
             .parquet(self.articles_path)
         )
 
+    def take_in(self, scored: DataFrame, stream: str = "", number: int = 0) -> None:
+        """Articles, counts, newest and, last, titles of a scored batch; all of it may be done again.
+
+        A batch whose titles are in the index is there whole.
+        """
+        name = batch_name(stream, number)
+        self.append(scored, name)
+        self.counts.fold(scored, stream, number)
+        self.newest.fold(scored)
+        self.titles.add(scored, name)
+
     def compact_to(self, root: str) -> ScoredStore:
         """A copy with few files per day and feed, for the next start of a stream."""
-        copy = ScoredStore(self.spark, root, self.titles.buckets)
-        copy.append(self.articles())
+        copy = ScoredStore(self.spark, root, self.ledger.name)
+        whole = self.articles()
+        copy.append(whole, "compact")
+        copy.counts.fold(whole, "compact", 0)
+        copy.newest.fold(whole)
         self.titles.compact_to(copy.titles.path)
         return copy
-
-    def replayed(self, batch: DataFrame) -> DataFrame | None:
-        """Title keys of the batch already among the articles of an earlier try of the same batch,
-        None for a batch without rows.
-
-        A try that failed after its articles were written but before its titles were leaves no
-        trace in the index. Its rows carry the same publish days and ingest times as now, so only
-        that part of the store is read.
-        """
-        day, at = F.to_date("published_at"), F.col("ingested_at")
-        span = batch.agg(
-            F.count("*").alias("rows"),
-            F.sum(F.octet_length("title")).alias("bytes"),
-            F.min(day).alias("day_from"), F.max(day).alias("day_to"),
-            F.min(at).alias("at_from"), F.max(at).alias("at_to"),
-        ).first()
-        if not span["rows"]:
-            return None
-
-        def inside(name: str, low, high):
-            column = F.col(name)
-            return column.isNull() if low is None else column.isNull() | column.between(F.lit(low), F.lit(high))
-
-        earlier = self.articles().where(
-            inside("published_date", span["day_from"], span["day_to"])
-            & inside("ingested_at", span["at_from"], span["at_to"])
-        )
-        wanted = title_keys(batch)
-        few = span["rows"] <= BROADCAST_TITLES and (span["bytes"] or 0) <= BROADCAST_BYTES
-        return title_keys(earlier).join(F.broadcast(wanted) if few else wanted, TITLE_KEY, "left_semi")

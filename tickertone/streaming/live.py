@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tickertone.functions.times import local_time
 from tickertone.operators import grids
-from tickertone.plans import panels
+from tickertone.plans import kept_panels, panels
 from tickertone.sources.store import ScoredStore
 
 # Window length and the offset that puts its edges on local hours and days (+05:45).
@@ -58,13 +58,16 @@ _VERSIONS = "version string, as_of timestamp"
 
 
 def write_panels(store: ScoredStore, path: str, as_of: datetime) -> str:
-    """Write all panel tables at ``as_of`` as a new version, then make it the current one."""
-    spark, articles = store.spark, store.articles()
+    """Write all panel tables at ``as_of`` (its whole minute) as a new version, then make it the current one.
+
+    They come from the counts and newest articles that the micro-batches keep; the store is not read.
+    """
+    spark = store.spark
     version = f"{as_of:%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
     to = f"{path}/{version}"
-    panels.overview(articles, as_of).write.parquet(f"{to}/overview")
+    kept_panels.overview(store.counts, store.newest, as_of).write.parquet(f"{to}/overview")
     for feed in panels.FEEDS:
-        rows = panels.sample(articles, feed).persist()  # at most the sample size
+        rows = kept_panels.sample(store.newest, feed).persist()  # at most the sample size
         try:
             tables = {
                 "sentiment_mix": panels.sentiment_mix(rows),

@@ -22,16 +22,17 @@ def feed_articles(documents: DataFrame, registry: DataFrame, as_of: datetime | N
 
 
 def publish_batch(
-    batch: DataFrame, batch_id: int, sent: TitleIndex, write: Callable[[DataFrame], None]
+    batch: DataFrame, batch_id: int, sent: TitleIndex, write: Callable[[DataFrame], None], run: str | None = None
 ) -> None:
     """Send the first article of each title not sent before.
 
     Copies fold before the shuffle, so a title that fills a third of a batch is one row per task.
     Titles count as sent once ``write`` has returned; a batch that failed is sent again.
     """
-    articles = with_arrival(batch, batch_id).persist()
+    given = batch.persist()
     fresh = None
     try:
+        articles = with_arrival(given, batch_id)
         known = sent.find(articles)
         if known is None:
             return
@@ -39,9 +40,9 @@ def publish_batch(
         if fresh.isEmpty():
             return
         write(encode_messages(fresh))
-        sent.add(fresh)
+        sent.add(fresh, run)
     finally:
-        for frame in (articles, fresh):
+        for frame in (given, fresh):
             if frame is not None:
                 frame.unpersist()
 

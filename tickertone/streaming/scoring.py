@@ -1,41 +1,42 @@
-"""Topic to scored store: dedup, score and append each micro-batch as one DataFrame plan."""
+"""Topic to scored store: dedup, score and store each micro-batch as one DataFrame plan."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from tickertone.operators.dedup import TITLE_KEY, keyed_first, with_title_key
+from tickertone.operators.dedup import TITLE_KEY, keyed_first
 from tickertone.plans.scorers import Scorer
 from tickertone.plans.scoring import score_articles
-from tickertone.sources.store import ScoredStore
+from tickertone.sources.folders import query_id
+from tickertone.sources.store import ScoredStore, batch_name
 from tickertone.sources.topic import decode_messages
 from tickertone.streaming.arrival import with_arrival
 
 
-def process_batch(batch: DataFrame, batch_id: int, store: ScoredStore, scorer: Scorer, **options) -> None:
+def process_batch(batch: DataFrame, batch_id: int, store: ScoredStore, scorer: Scorer, stream: str = "", **options) -> None:
     """Score and store the new titles of one micro-batch.
 
-    Articles are written before their titles reach the index. A batch that failed in between is
-    run again with the same rows: it finds its articles in the store, scores only what is missing
-    and completes the index.
+    A batch that failed anywhere is run again with the same rows: answers paid for come from the
+    ledger, its articles are overwritten, counts know that they have it. Its titles reach the index
+    last, and when they are there nothing is left to do.
     """
-    articles = with_arrival(batch, batch_id).persist()
-    unknown = fresh = None
+    name = batch_name(stream, batch_id)
+    given = batch.persist()
+    fresh = scored = None
     try:
+        articles = with_arrival(given, batch_id)
         known = store.titles.find(articles)
         if known is None:
             return
-        unknown = keyed_first(articles).join(known, TITLE_KEY, "left_anti").drop(*TITLE_KEY).persist()
-        replayed = store.replayed(unknown)
-        if replayed is None:
+        fresh = keyed_first(articles).join(known, TITLE_KEY, "left_anti").drop(*TITLE_KEY).persist()
+        if fresh.isEmpty():
             return
-        fresh = with_title_key(unknown).join(replayed, TITLE_KEY, "left_anti").drop(*TITLE_KEY).persist()
-        if not fresh.isEmpty():
-            store.append(score_articles(fresh, scorer, **options))
-        store.titles.add(unknown)
+        scored = score_articles(fresh, scorer, ledger=store.ledger, batch=name, **options).persist()
+        store.take_in(scored, stream, batch_id)
+        store.ledger.forget(name)
     finally:
-        for frame in (articles, unknown, fresh):
+        for frame in (given, fresh, scored):
             if frame is not None:
                 frame.unpersist()
 
@@ -46,7 +47,8 @@ def start_scoring(
     """Start the stream. ``messages`` is ``read_topic(...)`` or ``read_topic_files(...)``."""
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        process_batch(batch, batch_id, store, scorer, **options)
+        # Batch numbers begin anew with every checkpoint, the id of the query does too.
+        process_batch(batch, batch_id, store, scorer, query_id(store.spark, checkpoint), **options)
 
     return (
         decode_messages(messages)

@@ -117,6 +117,11 @@ def from_fresh(*views: str, select: str) -> str:
     return with_views(CLOCK, ARTICLES, STORED, FRESH, *views, select=select)
 
 
+def whole_minutes(statement: str) -> str:
+    """The same with the clock at its whole minute."""
+    return statement.replace(CLOCK, "clock AS (SELECT date_trunc('minute', max(ts) + INTERVAL 5 MINUTE) AS as_of FROM events)")
+
+
 def grid(unit: str, periods: int, pattern: str, source: str, by_feed: bool) -> str:
     feed, same = ("f.feed, ", "c.feed = f.feed AND ") if by_feed else ("", "")
     return f"""
@@ -371,6 +376,18 @@ FROM sample WHERE place <= 30"""
             ARTICLES, SCORED.format(source="(SELECT DISTINCT title FROM articles)"),
             select=f"SELECT title, {ANALYSIS} FROM scored",
         ).replace("CAST(NULL AS DOUBLE) AS sentiment_confidence,", ""),
+        "kept_overview": whole_minutes(
+            from_sample(f"SELECT * FROM ({COUNTS}) JOIN ({RATE}) USING (feed) JOIN ({ROLLING}) USING (feed) JOIN ({COVERAGE}) USING (feed)")
+        ),
+        "kept_hourly_sentiment": whole_minutes(from_scored(grid("hour", 24, "%d %b %I %p", "scored", False))),
+        "kept_daily_sentiment": whole_minutes(from_scored(grid("day", 7, "%a %d %b", "scored", False))),
+        "kept_newest_articles": from_sample(
+            "SELECT seq, title, link, source, region, sentiment, sentiment_score, text, published_at, feed FROM sample"
+        ),
+        "indexed_title_lookup": with_views(
+            CLOCK, ARTICLES, STORED,
+            select="SELECT DISTINCT s.title FROM stored s WHERE EXISTS (SELECT 1 FROM arriving a WHERE a.title IS NOT DISTINCT FROM s.title)",
+        ),
         "stream_title_dedup": with_views(ARTICLES, select="SELECT DISTINCT title FROM articles"),
         "stream_hourly_counts": from_scored(
             """SELECT date_trunc('hour', published_at + INTERVAL 345 MINUTE) AS bucket, sentiment, count(*) AS stories

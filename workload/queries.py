@@ -25,7 +25,7 @@ from tickertone.operators.responses import (
     valid_results,
 )
 from tickertone.operators.samples import newest, normalise
-from tickertone.plans import panels
+from tickertone.plans import kept_panels, panels
 from tickertone.plans.articles import build_articles, tag_entries
 from tickertone.plans.report import batch_report
 from tickertone.plans.requests import build_requests
@@ -33,7 +33,9 @@ from tickertone.plans.scoring import merge_scores, no_scores, score_articles, sc
 from tickertone.schemas import EXCERPT_CHARS, FALLBACK_MODEL, PRIMARY_MODEL
 from tickertone.sources import feeds
 from tickertone.sources.registry import count_by_region, default_registry
+from tickertone.sources.kept import KeptCounts, KeptNewest
 from tickertone.sources.store import ScoredStore
+from tickertone.sources.titles import TitleIndex
 from tickertone.sources.topic import decode_messages, encode_messages, read_topic_files
 from tickertone.streaming.live import bucket_counts, read_bucket_counts, start_bucket_counts
 from tickertone.streaming.publishing import unsent
@@ -364,10 +366,9 @@ def run_folder(spark: SparkSession) -> str:
 def stream_scored_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The store after the stream took in the arriving articles on top of the stored ones."""
     clock, rows, run = tables.as_of(spark, sf_dir), tables.articles(spark, sf_dir), run_folder(spark)
-    store = ScoredStore(spark, f"{run}/store", buckets=8)
+    store = ScoredStore(spark, f"{run}/store")
     stored = first_per_title(tables.stored_articles(rows, clock))
-    store.append(score_articles(stored, fixture_scorer))
-    store.titles.add(stored)
+    store.take_in(score_articles(stored, fixture_scorer), "stored")
     encode_messages(tables.arriving_articles(rows, clock)).write.text(f"{run}/topic")
     stream = start_scoring(
         read_topic_files(spark, f"{run}/topic", max_files=4), store, fixture_scorer, f"{run}/checkpoint",
@@ -400,6 +401,60 @@ def stream_hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_bucket_counts(spark, f"{run}/out")
 
 
+def _batches(rows: DataFrame, n: int = 3) -> list[DataFrame]:
+    """All rows in n parts, not in the order of their times."""
+    return [rows.where(F.col("seq") % n == k) for k in range(n)]
+
+
+def _kept_counts(spark: SparkSession, sf_dir: str) -> KeptCounts:
+    counts = KeptCounts(spark, f"{run_folder(spark)}/counts")
+    for number, rows in enumerate(_batches(tables.scored(spark, sf_dir))):
+        counts.fold(rows, "stream", number)
+    return counts
+
+
+def _kept_newest(spark: SparkSession, sf_dir: str) -> KeptNewest:
+    newest_ = KeptNewest(spark, f"{run_folder(spark)}/newest")
+    for rows in _batches(tables.scored(spark, sf_dir)):
+        newest_.fold(rows)
+    return newest_
+
+
+@query
+def kept_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The headline numbers from what micro-batches keep, as of the clock's whole minute."""
+    return kept_panels.overview(_kept_counts(spark, sf_dir), _kept_newest(spark, sf_dir), tables.as_of(spark, sf_dir))
+
+
+@query
+def kept_hourly_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept_panels.sentiment_grid(_kept_counts(spark, sf_dir), tables.as_of(spark, sf_dir), grids.HOURLY)
+
+
+@query
+def kept_daily_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept_panels.sentiment_grid(_kept_counts(spark, sf_dir), tables.as_of(spark, sf_dir), grids.DAILY)
+
+
+@query
+def kept_newest_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = _kept_newest(spark, sf_dir)
+    return _both(lambda feed: kept_panels.newest(kept, feed))
+
+
+@query
+def indexed_title_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles of the arriving articles that an index made by many micro-batches has."""
+    clock, rows = tables.as_of(spark, sf_dir), tables.articles(spark, sf_dir)
+    index = TitleIndex(spark, f"{run_folder(spark)}/titles")
+    for batch in _batches(tables.stored_articles(rows, clock).select("seq", "title"), 9):
+        index.add(batch)
+    hits = index.find(tables.arriving_articles(rows, clock))
+    if hits is None:
+        return spark.createDataFrame([], "title string")
+    return hits.select(F.when(~F.col("_untitled"), F.col("_title")).alias("title"))
+
+
 def _drain(frame: DataFrame, run: str) -> None:
     (
         frame.writeStream.format("parquet")
