@@ -68,21 +68,21 @@ def test_batch_that_stopped_between_two_days(spark, tmp_path):
     """Days that have a batch are left alone when it runs again, the others take it."""
     counts = KeptCounts(spark, str(tmp_path / "counts"))
     batch = spark.createDataFrame(stories(60), SCORED)
-    counts.fold(batch.where("published_at < '2024-01-31' AND ingested_at IS NOT NULL"), "a", 0)
+    counts.fold(batch.where("published_at < '2024-01-31' AND ingested_at < '2024-01-31'"), "a", 0)
     whole = KeptCounts(spark, str(tmp_path / "whole"))
     whole.fold(batch, "a", 1)
-    whole.fold(batch.where("published_at < '2024-01-31' AND ingested_at IS NOT NULL"), "a", 2)
+    whole.fold(batch.where("published_at < '2024-01-31' AND ingested_at < '2024-01-31'"), "a", 2)
     counts.fold(batch, "a", 1)
     before = plain(counts.read("published").select("day", "minute", "feed", "sentiment", "stories"))
     # As if the commit had reached all days but one.
-    (lost,) = (tmp_path / "counts" / "kind=published" / "day=2024-01-31").glob("*.parquet")
+    (lost,) = (tmp_path / "counts" / "day=2024-01-31").glob("*.parquet")
     lost.unlink()
     counts.fold(batch, "a", 1)
     assert plain(counts.read("published").select("day", "minute", "feed", "sentiment", "stories")) == before
     assert before == plain(whole.read("published").select("day", "minute", "feed", "sentiment", "stories"))
     counts.fold(batch.where("false"), "a", 2)
     counts.fold(batch, "another stream", 0)
-    assert counts.read("total").agg(F.sum("stories")).first()[0] == sum(1 for _ in stories(60)) * 2 + batch.where("published_at < '2024-01-31' AND ingested_at IS NOT NULL").count()
+    assert counts.read("total").agg(F.sum("stories")).first()[0] == sum(1 for _ in stories(60)) * 2 + batch.where("published_at < '2024-01-31' AND ingested_at < '2024-01-31'").count()
 
 
 def test_panels_read_days_not_the_store(spark, tmp_path):

@@ -22,8 +22,8 @@ from tickertone.schemas import INTERNATIONAL, NEPALI, SAMPLE_SIZE, SCORED
 PUBLISHED, INGESTED, TOTAL = "published", "ingested", "total"
 _KEYS = ("kind", "day", "feed", "sentiment", "minute")
 _COUNTS = (
-    "feed string, sentiment string, minute timestamp, stories bigint, scored bigint, score_sum double, "
-    "stream string, number bigint, kind string, day date"
+    "kind string, feed string, sentiment string, minute timestamp, stories bigint, scored bigint, score_sum double, "
+    "stream string, number bigint, day date"
 )
 _NEWEST = T.StructType(
     [T.StructField("seq", T.LongType()), *[SCORED[name] for name in SAMPLE_FIELDS], T.StructField("feed", T.StringType())]
@@ -54,7 +54,7 @@ class KeptCounts:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
-        spark.createDataFrame([], _COUNTS).write.mode("ignore").partitionBy("kind", "day").parquet(path)
+        spark.createDataFrame([], _COUNTS).write.mode("ignore").partitionBy("day").parquet(path)
 
     def read(self, kind: str) -> DataFrame:
         return self.spark.read.schema(_COUNTS).parquet(self.path).where(F.col("kind") == kind)
@@ -70,19 +70,17 @@ class KeptCounts:
             if None in days:
                 touched |= F.col("day").isNull()
             kept = self.spark.read.schema(_COUNTS).parquet(self.path).where(touched)
-            # A row for each part of the table that has the batch already: kind and day.
-            done = kept.where((F.col("stream") == stream) & (F.col("number") >= number)).select("kind", "day").distinct()
-            same = F.col("kind").eqNullSafe(F.col("_kind")) & F.col("day").eqNullSafe(F.col("_day"))
-            done = done.select(F.col("kind").alias("_kind"), F.col("day").alias("_day"))
-            both = kept.select(*new.columns).unionByName(new).join(done, same, "left_anti")
+            # The days that have the batch already.
+            done = kept.where((F.col("stream") == stream) & (F.col("number") >= number)).select(F.col("day").alias("_done")).distinct()
+            both = kept.select(*new.columns).unionByName(new).join(done, F.col("day").eqNullSafe(F.col("_done")), "left_anti")
             summed = both.groupBy(*_KEYS).agg(*[F.sum(c).alias(c) for c in ("stories", "scored", "score_sum")])
             marked = summed.withColumns({"stream": F.lit(stream), "number": F.lit(number).cast("long")})
             (
                 # A day is small and has one file.
-                marked.repartition("kind", "day")
+                marked.repartition("day")
                 .write.mode("overwrite")
                 .option("partitionOverwriteMode", "dynamic")
-                .partitionBy("kind", "day")
+                .partitionBy("day")
                 .parquet(self.path)
             )
         finally:
