@@ -11,7 +11,7 @@ from tickertone.llm import bpe
 FILE = public_tokenizers.path("word_bpe_49k.json")
 EDGES = [
     None, "", " \t\n", "aaaa aaaaaaa a", "ΑΣ ΣΑΣ Σ σς", "İstanbul ﬁ ẞ", "don't I'll we'Re 'S", "<|endoftext|> x<|startoftext|>y",
-    "<|ENDOFTEXT|>", "\0<|endoftext|>", "a\x1cb\x85c d", "é é", "12½Ⅷ①", "日本語 😀👍🏽", "x" * 30_000, "word " * 5000,
+    "<|ENDOFTEXT|>", "\0<|endoftext|>", "\0<|ENDOFTEXT|>", "x\0<|EndOfText|>\0<|endoftext|>", " \0<|STARTOFTEXT|><|startoftext|>", "a\x1cb\x85c d", "é é", "12½Ⅷ①", "日本語 😀👍🏽", "x" * 30_000, "word " * 5000,
 ]
 
 
@@ -44,6 +44,13 @@ def test_any_texts_agree_with_the_library(vocabulary, library, texts):
     assert [(i.tolist(), d) for i, d in zip(ids, decoded, strict=True)] == [expected(library, t) for t in texts]
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["\0", "<|endoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|startoftext|>", "<|STARTOFTEXT|>", " ", "a", "\0\0", "|>", "\n"]), max_size=8).map("".join))
+def test_special_tokens_beside_zero_characters(vocabulary, library, text):
+    ids, decoded = bpe.encode_texts([text], vocabulary)
+    assert (ids[0].tolist(), decoded[0]) == expected(library, text)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.text("abcn!", min_size=1, max_size=12), min_size=1, max_size=30, unique=True))
 def test_words_together_merge_as_words_alone(vocabulary, words):

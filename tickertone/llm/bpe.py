@@ -90,21 +90,21 @@ class Vocabulary:
         known = (self.keys[at] == keys) & (left >= 0) & (right >= 0)
         return np.where(known, self.ranks[at], _NO_RANK).astype(np.int32), self.merged[at]
 
-    def runs(self, text: str) -> list[str]:
-        """Lower-case runs between white space; a special token is a run of its own, after a zero character."""
-        out: list[str] = []
+    def runs(self, text: str) -> list[str | tuple[str]]:
+        """Lower-case runs between white space; a special token is a run of its own, a tuple of its text."""
+        out: list[str | tuple[str]] = []
         for part in self.specials.split(text) if self.specials else [text]:
             if part in self.special:
-                out.append("\0" + part)
+                out.append((part,))
                 continue
             # One character at a time: the sigma that ends a word has no form of its own here.
             part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
             out += part.split() if _SEPARATORS.isdisjoint(part) else _WHITE.split(part)
         return out
 
-    def pretokens(self, run: str) -> list[str]:
+    def pretokens(self, run: str | tuple[str]) -> list[str | tuple[str]]:
         """The words of a run; no word holds white space, so a run is cut alike in every text."""
-        return [run] if run[:1] == "\0" and run[1:] in self.special else self.words.findall(run)
+        return [run] if isinstance(run, tuple) else self.words.findall(run)
 
 
 class _Numbers(dict):
@@ -127,9 +127,9 @@ def _gather(row: np.ndarray, offsets: np.ndarray, lengths: np.ndarray) -> np.nda
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(offsets[row] - (ends - size), size)
 
 
-def encode_words(words: list[str], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+def encode_words(words: list[str | tuple[str]], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all words one after the other, and where each word begins (one entry more than words)."""
-    raw = [b"\0" if w[:1] == "\0" and w[1:] in vocabulary.special else w.encode() for w in words]
+    raw = [b"\0" if isinstance(w, tuple) else w.encode() for w in words]
     lengths = np.array([len(x) for x in raw], np.int64)
     data = np.frombuffer(b"".join(raw), np.uint8)
     ends = np.cumsum(lengths)
@@ -143,8 +143,8 @@ def encode_words(words: list[str], vocabulary: Vocabulary) -> tuple[np.ndarray,
     after[ends - 1] = n
     before[starts] = n
     before[n] = after[n] = n
-    for at in [i for i, w in enumerate(words) if w[:1] == "\0" and w[1:] in vocabulary.special]:
-        symbol[starts[at]] = vocabulary.special[words[at][1:]]
+    for at in [i for i, w in enumerate(words) if isinstance(w, tuple)]:
+        symbol[starts[at]] = vocabulary.special[words[at][0]]
 
     rank_at, _ = vocabulary.lookup(symbol[:n], symbol[after[:n]])
     rank_at = np.append(rank_at, _NO_RANK).astype(np.int32)

@@ -15,45 +15,25 @@ from tickertone.llm.text import pieces
 
 #: Pages that the model is trained on.
 TRAINING_PAGES = 600
-#: Names that say what a part is for, by the beginnings of words in class, id and role.
-HINTS = {
-    "navigation": ("nav", "menu", "breadcrumb", "pagination", "toc", "skip"),
-    "header": ("header", "masthead", "topbar", "logo", "site-title"),
-    "footer": ("footer", "bottom", "legal", "copyright", "imprint", "contentinfo"),
-    "side": ("side", "widget", "related", "recommend", "trending", "popular", "complementary"),
-    "advert": ("ad", "ads", "advert", "sponsor", "promo", "banner"),
-    "notice": ("cookie", "consent", "gdpr", "notice", "alert", "popup", "modal", "paywall"),
-    "form": ("search", "newsletter", "login", "subscribe", "signup", "form"),
-    "share": ("share", "sharing", "social"),
-    "comment": ("comment", "comments", "reply", "replies", "respond", "response", "discussion", "disqus"),
-    "content": ("content", "article", "post", "entry", "story", "text", "body", "main"),
-}
-#: Short words must match whole.
-_WHOLE = frozenset(("ad", "ads", "nav", "toc", "form", "text", "body", "main", "post", "side"))
+#: Place in a block up to which a mark stands at its beginning.
+EARLY = 200
 _LENGTHS, _DENSITIES = (1, 2, 4, 8, 15, 30, 60), (0.0, 0.2, 0.5, 0.8)
 _MARKS = {"copyright": ("©", "copyright", "all rights reserved"), "cookies": ("cookie",)}
 
 
-@lru_cache(maxsize=10_000)
-def _hints(name: str) -> tuple[str, ...]:
-    return tuple(kind for kind, stems in HINTS.items() if any(name == s if s in _WHOLE else name.startswith(s) for s in stems))
-
-
-def _above(block: Block) -> set[str]:
-    return {f"in:{t}" for t in block.above} | {f"hint:{h}" for n in block.names for h in _hints(n)}
-
-
 def features(blocks: list[Block]) -> list[list[str]]:
     """Features of each block: elements and hints above it, its element, its text, its place and its neighbours' elements."""
     out = []
     for i, b in enumerate(blocks):
         n_words, density = b.text.count(" ") + 1, b.linked / len(b.text)
-        low = b.text[:200].lower()
-        found = _above(b) | {"bias", f"tag:{b.tag}", f"parent:{b.above[-2] if len(b.above) > 1 else ''}"}
+        low = b.text.lower()
+        found = {*b.around, "bias", f"tag:{b.tag}", f"parent:{b.parent}"}
         found.add(f"words:{sum(n_words > x for x in _LENGTHS)}")
         found.add(f"links:{sum(density > x for x in _DENSITIES)}")
         found.add(f"ends:{b.text[-1] if b.text[-1] in '.!?:' else ''}")
-        found |= {f"mark:{k}" for k, words in _MARKS.items() if any(w in low for w in words)}
+        # A mark says something else at the beginning of a block than far inside.
+        places = {k: min((at for w in words if (at := low.find(w)) >= 0), default=None) for k, words in _MARKS.items()}
+        found |= {f"mark:{k}" if at < EARLY else f"late:{k}" for k, at in places.items() if at is not None}
         if not any(x.startswith(("in:nav", "in:footer", "in:aside", "in:form", "in:header", "hint:")) for x in found - {"hint:content"}):
             found.add("plain")
         found.add(f"before:{blocks[i - 1].tag if i else ''}")
