@@ -248,6 +248,8 @@ def test_late_and_future_stories_are_counted(spark, tmp_path):
     assert drain() == [1, 1, 2]
     spark.createDataFrame([(NOW, "Neutral")], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "s"))
     assert drain() == [1, 1, 3]
+    table = spark.read.parquet(str(tmp_path / "o"))
+    assert table.count() == 3 and len(table.inputFiles()) == 3  # one row a bucket, one file a day
 
 
 @pytest.mark.parametrize("batch_id", [0, 32_767, 32_768, 10**9])

@@ -9,6 +9,7 @@ answers paid for by batches that are not done.
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -75,9 +76,15 @@ class ScoredStore:
         A batch whose titles are in the index is there whole.
         """
         name = batch_name(stream, number)
-        self.append(scored, name)
-        self.counts.fold(scored, stream, number)
-        self.newest.fold(scored)
+        # Three small tables that do not depend on one another: their jobs share the cluster.
+        with ThreadPoolExecutor(3) as pool:
+            writes = [
+                pool.submit(self.append, scored, name),
+                pool.submit(self.counts.fold, scored, stream, number),
+                pool.submit(self.newest.fold, scored),
+            ]
+        for write in writes:
+            write.result()
         self.titles.add(scored, name)
 
     def compact_to(self, root: str) -> ScoredStore:

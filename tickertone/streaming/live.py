@@ -13,6 +13,7 @@ from tickertone.operators import grids
 from tickertone.plans import kept_panels, panels
 from tickertone.sources.store import ScoredStore
 
+_BUCKETS = "bucket timestamp, sentiment string, stories bigint, day date"
 # Window length and the offset that puts its edges on local hours and days (+05:45).
 WINDOWS = {"hour": ("1 hour", "15 minutes"), "day": ("1 day", "18 hours 15 minutes")}
 
@@ -33,10 +34,32 @@ def bucket_counts(scored: DataFrame, unit: str = "hour") -> DataFrame:
 
 
 def start_bucket_counts(counts: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Keep a table of the counts that changed, by micro-batch; a batch that runs again replaces its rows."""
+    """Keep a table of all counts, one row a bucket and label, however late their stories come.
+
+    A micro-batch gives whole new counts of the buckets that it changed. They take the place of the
+    old ones in the local days that they belong to, which are rewritten as one small file each: the
+    table grows with the days and never with the batches, and a batch that runs again changes nothing.
+    """
+    spark = counts.sparkSession
+    spark.createDataFrame([], _BUCKETS).write.mode("ignore").partitionBy("day").parquet(path)
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        changed = batch.withColumns({"day": F.to_date("bucket"), "_new": F.lit(True)}).persist()
+        try:
+            days = [row.day for row in changed.select("day").distinct().collect()]  # the days of one batch
+            if not days:
+                return
+            kept = spark.read.schema(_BUCKETS).parquet(path).where(F.col("day").isin(days)).withColumn("_new", F.lit(False))
+            latest = kept.unionByName(changed).groupBy("day", "bucket", "sentiment").agg(F.max_by("stories", "_new").alias("stories"))
+            (
+                latest.repartition("day")
+                .write.mode("overwrite")
+                .option("partitionOverwriteMode", "dynamic")
+                .partitionBy("day")
+                .parquet(path)
+            )
+        finally:
+            changed.unpersist()
 
     return (
         counts.writeStream.outputMode("update")
@@ -49,8 +72,7 @@ def start_bucket_counts(counts: DataFrame, path: str, checkpoint: str, trigger:
 
 def read_bucket_counts(spark: SparkSession, path: str) -> DataFrame:
     """The latest count of each bucket and label."""
-    written = spark.read.schema("bucket timestamp, sentiment string, stories bigint, batch bigint").parquet(path)
-    return written.groupBy("bucket", "sentiment").agg(F.max_by("stories", "batch").alias("stories"))
+    return spark.read.schema(_BUCKETS).parquet(path).select("bucket", "sentiment", "stories")
 
 
 KEPT_VERSIONS = 5  # older panel versions are deleted; readers of the newest are not disturbed
