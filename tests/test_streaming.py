@@ -136,11 +136,11 @@ def test_feeds_to_topic_to_store(spark, tmp_path):
     (folder / "c.xml").write_text(TRAILING)
     publish_pass()
     sent = decode_messages(spark.read.text(str(tmp_path / "topic")))
-    assert sorted(r.title for r in sent.collect()) == ["", "Guid only", "Kept story", "No link", "Rates & prices"]
+    assert sorted(r.title for r in sent.collect()) == ["", "Guid only", "Harbour reopens", "No link", "Rates & prices"]
     store = ScoredStore(spark, str(tmp_path / "store"))
     run(spark, tmp_path, store)
     got = {r.title: (r.sentiment, r.source, r.region) for r in store.articles().collect()}
-    assert got["Kept story"] == ("Neutral", "Onlinekhabar", "Nepali") and got[""][0] == "Unscored" and len(got) == 5
+    assert got["Harbour reopens"] == ("Neutral", "Onlinekhabar", "Nepali") and got[""][0] == "Unscored" and len(got) == 5
 
 
 def test_titles_count_as_sent_after_the_send(spark, tmp_path):
