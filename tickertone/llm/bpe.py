@@ -20,6 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from tickertone.llm.shared import sets_aside
 from tickertone.llm.text import pieces
 
 #: Python counts these as white space, Unicode does not.
@@ -225,6 +226,7 @@ def encode_texts(texts: list[str | None], vocabulary: Vocabulary) -> tuple[list[
     return out, [" ".join([s for s in map(strings.__getitem__, row.tolist()) if s]) for row in rows]
 
 
+@sets_aside(r"__.*")
 def encode(docs: DataFrame, file: str, text: str = "text", digests: bool = False) -> DataFrame:
     """All columns but the text, with ids (array of int) and decoded (string), or their digests.
 

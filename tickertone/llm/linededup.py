@@ -11,7 +11,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tickertone.llm.shared import written
+from tickertone.llm.shared import sets_aside, written
 from tickertone.llm.text import text_key
 
 #: Sites from which on a line counts as boilerplate.
@@ -61,6 +61,7 @@ def spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, id_column: str = "
     return estimated.where(F.col("sites") > high).unionByName(near_kept).select("h1", "h2", "home")
 
 
+@sets_aside(r"__.*|h1|h2|home|place|line")
 def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, id_column: str = "doc_id", site: str = "source") -> DataFrame:
     """docs with text less its boilerplate lines, and n_lines and n_removed (columns of these names are replaced).
 

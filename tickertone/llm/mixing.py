@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tickertone.llm.shared import written
+from tickertone.llm.shared import sets_aside, written
 from tickertone.llm.text import WORD_PATTERN, text_key
 
 #: What a language or topic without a target of its own counts as.
@@ -226,6 +226,7 @@ def _looked_up(key: Column, factors: dict[str, float]) -> Column:
     return out
 
 
+@sets_aside(r"__.*|factor")
 def with_sampling(docs: DataFrame, targets: Targets | None = None, seed: int = 0, id_column: str = "doc_id") -> DataFrame:
     """docs with n_tokens, weight, probability and sampled (columns of these names are replaced).
 
@@ -257,6 +258,7 @@ def with_sampling(docs: DataFrame, targets: Targets | None = None, seed: int = 0
     )
 
 
+@sets_aside(r"__.*|factor|n_tokens|weight|probability|sampled")
 def mixed_sample(docs: DataFrame, targets: Targets | None = None, seed: int = 0, id_column: str = "doc_id") -> DataFrame:
     """The sampled rows of docs, with their own columns."""
     return with_sampling(docs, targets, seed, id_column).where("sampled").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tickertone.llm.components import components
-from tickertone.llm.shared import written
+from tickertone.llm.shared import sets_aside, written
 from tickertone.llm.text import mixed, pieces, text_bytes, text_key, word_hashes, word_spans
 from tickertone.llm.text import _ODD_WORDS, _power_tables
 
@@ -281,6 +281,7 @@ def near_duplicates(
     )
 
 
+@sets_aside(r"__.*|id|t1|t2|name|first|head")
 def first_of_each_group(docs: DataFrame, id_column: str = "doc_id", text: str = "text", threshold: Fraction = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """The row with the smallest id of each group of near duplicates, with its own columns; texts without words all stay.
 

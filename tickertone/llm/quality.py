@@ -16,7 +16,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tickertone.llm.shared import written
+from tickertone.llm.shared import sets_aside, written
 
 SPACE_PATTERN = r"[\x20\x09-\x0D]+"
 SYMBOL_PATTERN = r"[#*$%&|<>]"
@@ -210,6 +210,7 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, id_column: str = "doc_i
     return with_verdicts(measured, written(certified_cutoffs(holdout), small=True))
 
 
+@sets_aside(r"__.*|cut_.*|stratum|good|measures")
 def keep_good(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", lang: str = "lang", label: str = "quality") -> DataFrame:
     """The rows of docs that the rules keep, with their own columns.
 

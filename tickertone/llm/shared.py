@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import gc
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,3 +38,27 @@ def written(df: DataFrame, small: bool = False) -> DataFrame:
     gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sets_aside(pattern: str) -> Callable:
+    """For operators that give back the columns of their first argument: those whose names match (in any
+    case) go through under other names, so that they do not clash with names inside the operator.
+
+    Columns that the caller names in an argument stay. A table without such names is not touched.
+    """
+    clashing = re.compile(pattern, re.I)
+
+    def decorate(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @functools.wraps(operator)
+        def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+            named = [x for x in (*args, *kwargs.values()) if isinstance(x, str)]
+            aside = {c: f"aside{i}" for i, c in enumerate(docs.columns) if clashing.fullmatch(c) and c not in named}
+            if not aside:
+                return operator(docs, *args, **kwargs)
+            back = {new: old for old, new in aside.items()}
+            out = operator(docs.toDF(*[aside.get(c, c) for c in docs.columns]), *args, **kwargs)
+            return out.toDF(*[back.get(c, c) for c in out.columns])
+
+        return run
+
+    return decorate
