@@ -6,9 +6,11 @@ of target shares. Languages and topics are bounded by the targets, so their fact
 numbers; sources are not, so their factors stay in a table with one row for each source, and a pass
 over them is one aggregation to one row. Only DataFrame functions.
 
-Given the other factors, those of the sources follow; the logarithms of the others are the least
-point of a convex function whose slopes are the errors of the shares. Rescaling in turn creeps where
-few sources mix languages, so each pass is a step of Newton's method.
+The fit is iterative proportional fitting: a pass scales the sources to their shares, which leaves a
+small table of languages and topics, and scales first the languages, then the topics of that table to
+theirs. Where few sources mix languages the passes creep; what they leave is then polished by Newton's
+method, as the logarithms of the factors are the least point of a convex function whose slopes are the
+errors of the shares.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tickertone.llm.shared import sets_aside, written
 from tickertone.llm.text import WORD_PATTERN, text_key
 
+#: Passes over which the fall of the error is measured; raking that would not end in time at that pace is left to the polish.
+CREEP = 5
 #: What a language or topic without a target of its own counts as.
 OTHER = "other"
 
@@ -49,7 +53,7 @@ class Targets:
     language_shares: dict[str, float] = field(default_factory=dict)
     topic_shares: dict[str, float] = field(default_factory=dict)
     flatten: float = 0.9
-    max_passes: int = 50
+    max_passes: int = 50  # of raking, and as many steps of its polish
     tolerance: float = 1e-6
 
 
@@ -112,7 +116,8 @@ def _named_only(cells: np.ndarray, goals: list[list[float]], named: list[np.ndar
 class Fit:
     """Factors by source (a table: source, factor), language and topic, and the largest weight of a cell with tokens.
 
-    error is how far a share is from its target at most.
+    passes counts those of raking and the steps of the polish. error is how far a share is from its
+    target at most.
     """
 
     sources: DataFrame
@@ -174,8 +179,34 @@ def fit(cells: DataFrame, targets: Targets) -> Fit:
                 curve[m, o] = curve[o, m] = inner[sorted(set(sides[m]) & set(sides[o]))].sum() - found[f"h{m}_{o}"]
             return found["height"] - float(both @ np.where(active, x, 0.0)), slope, curve
 
-        x, step, best, passes = np.zeros(n), np.zeros(n), None, 0
-        while passes < targets.max_passes:
+        def rake() -> tuple[list[np.ndarray], float, int]:
+            """Factors of languages and topics, the largest error once the sources meet theirs, and passes."""
+            factors, errors = [np.where(g > 0, 1.0, 0.0) for g in goals], []
+            while True:
+                values = [F.col(f"n{k}") * F.lit(float(factors[0][i] * factors[1][j])) for k, (i, j) in enumerate(pairs)]
+                scaled = wide.select(goal.alias("goal"), sum(values, F.lit(0.0)).alias("reached"), *[c.alias(f"v{k}") for k, c in enumerate(values)]).where("reached > 0")
+                row = scaled.agg(*[total(F.col("goal") / F.col("reached") * F.col(f"v{k}"), f"v{k}") for k in range(len(pairs))]).first()
+                now = np.array(row).reshape(shape)
+                errors.append(max(float(np.abs(now.sum(1 - side) - goals[side]).max()) for side in (0, 1)))
+                if errors[-1] <= targets.tolerance or len(errors) == targets.max_passes:
+                    return factors, errors[-1], len(errors)
+                if len(errors) >= CREEP:
+                    ahead = (targets.max_passes - len(errors)) / (CREEP - 1)
+                    if errors[-1] * (errors[-1] / errors[-CREEP]) ** ahead > targets.tolerance:
+                        return factors, errors[-1], len(errors)
+                for side in (0, 1):
+                    held = now.sum(1 - side)
+                    change = np.divide(goals[side], held, out=np.zeros_like(held), where=held > 0)
+                    factors[side] = factors[side] * change
+                    now = now * (change[:, None] if side == 0 else change[None, :])
+
+        factors, error, passes = rake()
+        if error <= targets.tolerance or not all((f[g > 0] > 0).all() for f, g in zip(factors, goals, strict=True)):
+            return factors, error, passes
+        # What creeps is polished.
+        x = np.log(np.where(active, np.concatenate(factors), 1.0))
+        step, best, last = np.zeros(n), None, passes + targets.max_passes
+        while passes < last:
             passes += 1
             height, slope, curve = measured(x + step)
             worst = float(np.abs(slope).max())
