@@ -55,6 +55,54 @@ def test_one_class_or_nothing(spark, docs):
     assert toxicity.toxicity_scores(docs([]), table.limit(0)).collect() == []
 
 
+def test_masked_and_spelled_out_words(spark, docs):
+    rows, labels = corpus()
+    more = [(2000, "dem zw*rst lo"), (2001, "dem zwur5t lo"), (2002, "dem z w u r s t lo"), (2003, "dem z-w-u-r-s-t lo"), (2004, "dem a b d e lo"), (2005, "d3m l*ru!!! lo")]
+    table = spark.createDataFrame(labels, "doc_id long, toxic int")
+    by_id = {r.id: r.predicted for r in toxicity.toxicity_scores(docs([*rows, *more]), table).collect()}
+    assert [by_id[2000 + i] for i in range(6)] == [1, 1, 1, 1, 0, 0]
+
+
+def test_signs_of_a_text():
+    signs = toxicity._Tokens().of("You utter Clown, m o r o n! l0ser *** sc*m i.d.i.o.t A.B")
+    assert {"clown", "clo*", "&clown", "moron", "idiot", "loser", "sc*m", *toxicity.PATTERNS[:3]} <= signs
+    assert toxicity.CAPITALS not in signs and toxicity.CAPITALS in toxicity._Tokens().of("THIS IS ALL SHOUTED")
+    assert toxicity._Tokens().of(None) == toxicity._Tokens().of("") == set()
+
+
+def test_one_training_row_for_each_id(spark, docs):
+    table = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, toxic int")
+    rows = docs([(i % 30, f"text {i}") for i in range(600)])
+    assert toxicity.training_rows(rows, table, "doc_id", "text", "toxic", 10).count() == 10
+
+
+def test_given_words_vote(spark, docs):
+    rows, labels = corpus()
+    table = spark.createDataFrame(labels, "doc_id long, toxic int")
+    features = {t for t, _, _ in toxicity.chosen_tokens(spark.createDataFrame([("rare", 1, 0), ("other", 1, 0)], "token string, toxic long, clean long"), 9, 9, ("rare",))}
+    assert features == {"rare"}
+    found = toxicity.toxicity_scores(docs(rows), table, lexicon=("Zwurst",)).collect()
+    assert all(r.predicted for r in found if "zwurst" in rows[r.id][1])
+
+
+def test_label_model_without_labels_finds_the_class():
+    r = np.random.default_rng(1)
+    truth = r.random(6000) < 0.3
+    right = (0.9, 0.8, 0.85, 0.7)
+    votes = np.stack([np.where(r.random(6000) < 0.7, np.where(r.random(6000) < p, 1, -1) * np.where(truth, 1, -1), 0) for p in right], axis=1).astype(np.int8)
+    model = toxicity.LabelModel.fit(votes, rounds=40)
+    for j, p in enumerate(right):  # the same by counting with the true classes
+        assert model.chances[j, 1, 2] == pytest.approx(0.7 * p, abs=0.06) and model.chances[j, 0, 0] == pytest.approx(0.7 * p, abs=0.06)
+    prior = model.prior
+    # Bayes' rule, row by row.
+    for row in votes[:50]:
+        odds = prior / (1 - prior)
+        for j, v in enumerate(row):
+            if v:
+                odds *= (model.chances[j, 1, v + 1] / model.chances[j, 0, v + 1]) ** model.weights[j]
+        assert model.posterior(row[None])[0] == pytest.approx(odds / (1 + odds), rel=1e-6)
+
+
 def test_label_model_weighs_repeated_voters_down():
     r = np.random.default_rng(0)
     truth = r.random(4000) < 0.3

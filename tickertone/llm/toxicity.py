@@ -1,10 +1,14 @@
 """Toxicity scores by weak supervision.
 
-Words and word beginnings that go with the label on training rows become voters; a further one votes
-clean where none of them stands. A generative label model estimates how each voter votes given the
-unknown class, and how far voters repeat each other, by expectation maximisation; its posteriors are
-the labels on which a linear classifier over words and word beginnings is trained. Candidate counts
-are an aggregation over all training rows of the sample; the driver holds one bounded table.
+Voters look at the whole text. Lexicon voters are words, word beginnings and words after a form of
+address; those given by the caller vote always, others where they go with the label on training rows.
+Words written with digits or marks for letters, or letter by letter, count as the words they stand for.
+Pattern voters see masked words, spelled-out words, runs of marks and texts in capitals, whatever the
+words. A further voter votes clean where no lexicon voter stands. A generative label model estimates by
+expectation maximisation how each voter votes given the unknown class, and how far voters repeat each
+other; it starts from the lexicon votes and never sees the labels. Its posteriors are the labels on
+which a linear classifier over all of these signs is trained. Candidate counts are an aggregation over
+all training rows of the sample; the driver holds one bounded table.
 """
 
 from __future__ import annotations
@@ -36,27 +40,57 @@ COVER = 3
 PREFIXES = range(3, 7)
 _WORD = regex.compile(r"\p{L}+")
 
+# Forms of address, and the letters that digits and marks stand for.
+ADDRESS = frozenset("you your youre du dein deine ihr tu ton ta vous votre eres usted tus".split())
+LOOKALIKES = str.maketrans("013457@$!", "oieastasi")
+
+#: Signs that no word has, as they hold a space; each is a voter.
+MASKED, SPELLED, MARKS, CAPITALS = PATTERNS = ("masked word", "spelled-out word", "run of marks", "mostly capitals")
+_INNER = regex.compile(r"(?<!\p{L})\p{L}++(?:[0-9@$!*._+-]++\p{L}++)+")
+_SPELLED = regex.compile(r"(?<!\S)\p{L}(?:\s\p{L}(?![\p{L}\p{N}])){3,}+")
+_NOT_LETTERS, _NOT_LETTERS_OR_STAR = regex.compile(r"[^\p{L}]+"), regex.compile(r"[^\p{L}*]+")
+
 
 def is_held_out(id_: Column) -> Column:
     return F.coalesce(F.crc32(id_.cast("string")) % 4 == 2, F.lit(False))
 
 
+def with_beginnings(word: str) -> list[str]:
+    return [word, *(word[:n] + "*" for n in PREFIXES if len(word) > n)]
+
+
 def tokens_of(run: str) -> list[str]:
     """Words of a run without white space, and their beginnings, marked by a star."""
-    out = []
-    for word in _WORD.findall(run):
-        out.append(word)
-        out += [word[:n] + "*" for n in PREFIXES if len(word) > n]
+    out = [t for word in _WORD.findall(run) for t in with_beginnings(word)]
+    for masked in _INNER.findall(run):
+        likely = masked.translate(LOOKALIKES)
+        starred = _NOT_LETTERS_OR_STAR.sub("", likely)
+        out += [MASKED, *with_beginnings(_NOT_LETTERS.sub("", likely)), *([starred] if "*" in starred else [])]
     return out
 
 
-def runs_of(text: str | None) -> set[str]:
-    return set(unicodedata.normalize("NFKC", text or "").lower().split())
-
-
 class _Tokens(dict):
     """Run to its tokens; emptied when it has grown large."""
 
+    def of(self, text: str | None) -> set[str]:
+        """All signs of a text."""
+        whole = unicodedata.normalize("NFKC", text or "")
+        low = whole.lower()
+        runs = low.split()
+        out = {t for r in set(runs) for t in self[r]}
+        for i, run in enumerate(runs):
+            if run in ADDRESS:
+                out |= {"&" + word for r in runs[i + 1 : i + 3] for word in _WORD.findall(r)}
+        if sum(len(r) == 1 for r in runs) >= 3:  # the last letter may have a mark
+            spelled = {_NOT_LETTERS.sub("", x) for x in _SPELLED.findall(low)}
+            if spelled:
+                out |= {SPELLED, *(t for word in spelled for t in with_beginnings(word))}
+        if any(3 * mark in low for mark in "!?*#$%&"):
+            out.add(MARKS)
+        if len(runs) >= 3 and 2 * sum(map(str.isupper, whole.split())) > len(runs):
+            out.add(CAPITALS)
+        return out
+
     def __missing__(self, run: str) -> list[str]:
         if len(self) > 200_000:
             self.clear()
@@ -65,12 +99,13 @@ class _Tokens(dict):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_column: str, text: str, label: str, max_rows: int) -> DataFrame:
-    """text and toxic of the labelled rows that may be learnt from, max_rows at most, taken by a hash of the id."""
+    """text and toxic of the labelled rows that may be learnt from, max_rows at most, taken by a hash of the id; one text for each id."""
     marks = labels.where(F.col(f"`{label}`").isNotNull() & F.col(f"`{id_column}`").isNotNull())
     marks = marks.groupBy(F.col(f"`{id_column}`").alias("id")).agg((F.max(F.col(f"`{label}`")) >= 1).alias("toxic"))
     marks = marks.where(~is_held_out(F.col("id"))).orderBy(F.xxhash64("id"), "id").limit(max_rows)
     rows = docs.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    return rows.join(F.broadcast(written(marks)), "id").select("text", "toxic")  # max_rows ids
+    rows = rows.join(F.broadcast(written(marks)), "id")  # max_rows ids
+    return rows.groupBy("id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "toxic")
 
 
 def token_counts(rows: DataFrame) -> DataFrame:
@@ -82,7 +117,7 @@ def token_counts(rows: DataFrame) -> DataFrame:
             for batch in pieces(whole, "text"):
                 counts = (Counter(), Counter())
                 for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                    counts[toxic].update({t for r in runs_of(text) for t in known[r]})
+                    counts[toxic].update(known.of(text))
                 names = list(counts[0].keys() | counts[1].keys())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(names, pa.string()), pa.array([counts[1][t] for t in names], pa.int64()), pa.array([counts[0][t] for t in names], pa.int64())],
@@ -93,13 +128,14 @@ def token_counts(rows: DataFrame) -> DataFrame:
     return found.groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def chosen_tokens(counts: DataFrame, n_toxic: int, n_clean: int) -> list[tuple[str, int, int]]:
-    """The MAX_FEATURES tokens whose frequency differs most between the classes, in standard errors, MIN_ERRORS at least."""
+def chosen_tokens(counts: DataFrame, n_toxic: int, n_clean: int, lexicon: tuple[str, ...] = ()) -> list[tuple[str, int, int]]:
+    """The MAX_FEATURES tokens whose frequency differs most between the classes, in standard errors, MIN_ERRORS at least; and patterns and given words."""
     a, b = (F.col("toxic") + 0.5) / (n_toxic + 1), (F.col("clean") + 0.5) / (n_clean + 1)
     error = F.sqrt(a * (1 - a) / n_toxic + b * (1 - b) / n_clean)
+    always = counts.where(F.col("token").isin([*PATTERNS, *lexicon]))
     counts = counts.where(F.col("toxic") + F.col("clean") >= MIN_ROWS).withColumn("errors", F.abs(a - b) / error)
     best = counts.where(F.col("errors") >= MIN_ERRORS).orderBy(F.desc("errors"), F.length("token"), "token").limit(MAX_FEATURES)
-    return [(r.token, r.toxic, r.clean) for r in best.collect()]
+    return list(dict.fromkeys((r.token, r.toxic, r.clean) for r in [*best.collect(), *always.collect()]))
 
 
 def present(rows: DataFrame, features: list[str]) -> DataFrame:
@@ -109,20 +145,20 @@ def present(rows: DataFrame, features: list[str]) -> DataFrame:
         numbers, known = {t: i for i, t in enumerate(features)}, _Tokens()
         for whole in batches:
             for batch in pieces(whole, "text"):
-                found = [sorted({numbers[t] for r in runs_of(x) for t in known[r] if t in numbers}) for x in batch.column("text").to_pylist()]
+                found = [sorted(numbers[t] for t in known.of(x) if t in numbers) for x in batch.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.list_(pa.int32()))], names=["toxic", "found"])
 
     return rows.mapInArrow(run, "toxic boolean, found array<int>")
 
 
 def voters(tokens: list[tuple[str, int, int]], found: list[np.ndarray], toxic: np.ndarray) -> list[int]:
-    """Numbers of the tokens that vote toxic, by greedy cover.
+    """Numbers of the tokens that vote toxic, patterns aside, by greedy cover.
 
     A token counts the toxic rows that fewer than COVER chosen voters stand in; words that merely
     come along in copies of a covered row count for nothing. Of equals the longest is taken.
     """
     share = toxic.mean()
-    good = [i for i, (_, a, b) in enumerate(tokens) if (a + share) / (a + b + 1) >= MIN_PRECISION]
+    good = [i for i, (_, a, b) in enumerate(tokens) if (a + share) / (a + b + 1) >= MIN_PRECISION and tokens[i][0] not in PATTERNS]
     holders: dict[int, list[int]] = {i: [] for i in good}
     for row in np.flatnonzero(toxic):
         for i in found[row]:
@@ -150,26 +186,27 @@ class LabelModel:
     prior: float
 
     @classmethod
-    def fit(cls, votes: np.ndarray, first: np.ndarray, rounds: int = 10, tied: float = 0.8) -> LabelModel:
-        """votes holds -1, 0 or 1 by row and voter; first is the starting posterior of each row.
+    def fit(cls, votes: np.ndarray, first: np.ndarray | None = None, rounds: int = 10, tied: float = 0.5) -> LabelModel:
+        """votes holds -1, 0 or 1 by row and voter; first is the starting posterior of each row, else the votes' majority.
 
-        Voters whose deviations from what the class makes expected are correlated above tied share
-        their weight, so that many forms of one sign count about once. The class balance is that of
-        the start.
+        A voter's deviations from what the class makes expected are correlated with those of others;
+        those above tied are taken as dependence, and a voter weighs
+        one over its effective number of copies, 1 and the sum of their squares: many forms of one
+        sign count about once. The class balance is that of the start.
         """
-        posterior, model = first.astype(float), None
-        prior = float(np.clip(posterior.mean(), 1e-4, 1 - 1e-4))
+        posterior, model = (np.where(votes.sum(axis=1) > 0, 0.98, 0.02) if first is None else first.astype(float)), None
         shown = [(votes == v).astype(np.float32) for v in (-1, 0, 1)]
+        fired = (votes != 0).astype(np.float32)
+        prior = float(np.clip(posterior.mean(), 1e-4, 1 - 1e-4))
         for _ in range(rounds):
             by_class = np.stack([1 - posterior, posterior], axis=1).astype(np.float32)
             counts = np.stack([(by_class.T @ s).T for s in shown], axis=2) + 0.1
             chances = counts / counts.sum(axis=2, keepdims=True)
-            fired = (votes != 0).astype(np.float32)
             rest = fired - by_class @ (1 - chances[:, :, 1]).T.astype(np.float32)
             norm = np.sqrt((rest**2).sum(axis=0)) + 1e-9
-            tie = np.abs((rest / norm).T @ (rest / norm))
+            tie = (rest / norm).T @ (rest / norm)
             np.fill_diagonal(tie, 0)
-            weights = 1 / (1 + np.where(tie > tied, tie, 0).sum(axis=1))
+            weights = 1 / (1 + (np.where(tie > tied, tie, 0) ** 2).sum(axis=1))
             model = cls(chances, weights, prior)
             posterior = model.posterior(votes)
         return model
@@ -203,42 +240,56 @@ class Classifier:
     bias: float
 
 
-def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = MAX_TRAINING_ROWS) -> Classifier | None:
+def train(
+    docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = MAX_TRAINING_ROWS, lexicon: tuple[str, ...] = ()
+) -> Classifier | None:
     """The classifier, or None where the training rows hold one class only."""
     rows = written(training_rows(docs, labels, id_column, text, label, max_rows))
     sizes = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return None
-    tokens = chosen_tokens(token_counts(rows), sizes[True], sizes[False])
+    lexicon = tuple(x.lower() for x in lexicon)
+    tokens = chosen_tokens(written(token_counts(rows)), sizes[True], sizes[False], lexicon)
     features = [t for t, _, _ in tokens]
-    table = present(rows, features).toArrow()  # max_rows rows of MAX_FEATURES numbers at most
+    table = present(rows, features).toArrow()  # max_rows rows of their features' numbers at most
     lists = table.column("found").combine_chunks()
     ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
     found = np.split(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), ends[:-1])
-    toxic = table.column("toxic").to_numpy().astype(float)
-    voting = voters(tokens, found, toxic)
+    words = voters(tokens, found, table.column("toxic").to_numpy().astype(float))
+    words += [i for i, t in enumerate(features) if t in lexicon and i not in words]
+    voting = words + [i for i, t in enumerate(features) if t in PATTERNS]
     place = np.full(len(features), -1)
     place[voting] = np.arange(len(voting))
     votes = np.zeros((len(found), len(voting) + 1), np.int8)
     for i, x in enumerate(found):
         at = place[x]
         votes[i, at[at >= 0]] = 1
-    votes[:, -1] = np.where(votes[:, :-1].any(axis=1), 0, -1)
-    posterior = LabelModel.fit(votes, np.clip(toxic, 0.02, 0.98)).posterior(votes)
+    named = votes[:, : len(words)].any(axis=1)
+    votes[:, -1] = np.where(named, 0, -1)
+    posterior = LabelModel.fit(votes, np.where(named, 0.98, 0.02)).posterior(votes)
     weights, bias = fit_classifier(found, posterior, len(features))
-    return Classifier(dict(zip(features, weights.tolist(), strict=True)), bias)
+    by_sign = dict(zip(features, weights.tolist(), strict=True))
+    for word in (features[i] for i in words):
+        if _WORD.fullmatch(word):
+            # A star for one inner letter stands for the word and the beginnings that the whole word shows.
+            value = math.fsum(by_sign.get(t, 0.0) for t in with_beginnings(word))
+            for i in range(1, len(word) - 1):
+                by_sign.setdefault(f"{word[:i]}*{word[i + 1 :]}", value)
+    return Classifier(by_sign, bias)
 
 
 def toxicity_scores(
-    docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "toxic", cutoff: float = 0.3, max_rows: int = MAX_TRAINING_ROWS
+    docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "toxic", cutoff: float = 0.3, max_rows: int = MAX_TRAINING_ROWS,
+    lexicon: tuple[str, ...] = (),
 ) -> DataFrame:
     """id, held_out, score (0 to 1) and predicted (1 from cutoff on) of each row of docs, repeated rows too.
 
     Labels are learnt only from rows that are not held out; the highest of several labels of an id
     counts, rows with a null id or label say nothing. Scores use the text alone. A null text scores
-    as an empty one. Where the training rows lack a class, all scores are 0.
+    as an empty one. Where the training rows lack a class, all scores are 0. Of several rows of an id
+    one is learnt from. Words of lexicon vote wherever a training row holds them.
     """
-    model = train(docs, labels, id_column, text, label, max_rows)
+    model = train(docs, labels, id_column, text, label, max_rows, lexicon)
     rows = docs.select(F.col(f"`{id_column}`").alias("id"), is_held_out(F.col(f"`{id_column}`")).alias("held_out"), F.col(f"`{text}`").alias("text"))
     if model is None:
         return rows.select("id", "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
@@ -247,7 +298,7 @@ def toxicity_scores(
         weights, known = model.weights, _Tokens()
         for whole in batches:
             for batch in pieces(whole, "text"):
-                odds = [model.bias + math.fsum(weights[t] for t in {t for r in runs_of(x) for t in known[r] if t in weights}) for x in batch.column("text").to_pylist()]
+                odds = [model.bias + math.fsum(weights[t] for t in known.of(x) if t in weights) for x in batch.column("text").to_pylist()]
                 score = 1 / (1 + np.exp(-np.clip(np.array(odds, float), -50, 50)))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id"), batch.column("held_out"), pa.array(score), pa.array((score >= cutoff).astype(np.int32))], names=["id", "held_out", "score", "predicted"]
