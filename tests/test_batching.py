@@ -1,8 +1,9 @@
 import random
+import re
 
 import pytest
 from hypothesis import given, settings, strategies as st
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from tickertone.operators.batching import assign_batches, form_requests, number_rows, pending_headlines
 
@@ -39,6 +40,23 @@ def test_hot_region_spreads_over_blocks(spark):
     assert "SinglePartition" not in plan and "Cartesian" not in plan
 
 
+def test_sparse_numbers_are_counted_in_small_groups(spark):
+    # Each number is a block of its own, so the blocks are as many as the rows.
+    spread = F.expr("(id - 2000) * 1125899906842624 + pmod(xxhash64(id), 1125899906842624)")
+    rows = spark.range(4_000).select(spread.alias("seq"), F.when(F.col("id") % 7 == 0, "a").otherwise("hot").alias("region_key"))
+    numbered = number_rows(rows, "region_key", block_bits=8, level_bits=6)
+    plain = Window.partitionBy("region_key").orderBy("seq")
+    assert numbered.withColumn("plain", F.row_number().over(plain) - 1).where("plain <> position").count() == 0
+    assert numbered.count() == 4_000
+    hot = rows.where("region_key = 'hot'").groupBy(F.shiftright("seq", 14)).count().agg(F.max("count")).first()[0]
+    assert hot <= 64
+    # A window over all blocks of a region stands only at the top level, whose numbers have six bits at most.
+    plan = numbered._jdf.queryExecution().optimizedPlan().toString()
+    windows = re.findall(r"Window \[.*?\], \[(.*?)\], \[", plan)
+    assert sum("," not in keys for keys in windows) == 1
+    assert sum("_group" in keys for keys in windows) == 9
+
+
 def test_requests_of_five_and_two(spark):
     rows = [(i, "Nepali", f"h{i}") for i in random.Random(1).sample(range(7), 7)]
     got = form_requests(assign_batches(pending(spark, rows))).orderBy("batch_no").collect()

@@ -9,28 +9,48 @@ from tickertone.schemas import HEADLINES_PER_REQUEST
 
 # 262,144 arrival numbers per block: the most rows one task ever numbers.
 BLOCK_BITS = 18
+# Block counts are added up in groups of 8,388,608 block numbers: with BLOCK_BITS, two levels cover 64 bits.
+LEVEL_BITS = 23
 
 
-def number_rows(rows: DataFrame, key: str, order: str = "seq", block_bits: int = BLOCK_BITS) -> DataFrame:
+def _rows_before(counts: DataFrame, key: str, bits: int, level_bits: int) -> DataFrame:
+    """Adds ``_before``, the rows of the key in earlier blocks, to the counts of blocks that have ``bits`` bits.
+
+    While the block numbers have more than ``level_bits`` bits, their upper bits name groups of
+    blocks: earlier groups are counted by the same rule, earlier blocks of the group in a window.
+    So no window holds more than one group, however sparse the numbers.
+    """
+    if bits <= level_bits:
+        earlier = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        return counts.withColumn("_before", F.coalesce(F.sum("count").over(earlier), F.lit(0)))
+    grouped = counts.withColumn("_group", F.shiftright("_block", level_bits))
+    groups = grouped.groupBy(key, F.col("_group").alias("_block")).agg(F.sum("count").alias("count"))
+    above = _rows_before(groups, key, bits - level_bits, level_bits).select(
+        key, F.col("_block").alias("_group"), F.col("_before").alias("_above")
+    )
+    earlier = Window.partitionBy(key, "_group").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    inside = grouped.withColumn("_before", F.coalesce(F.sum("count").over(earlier), F.lit(0)))
+    return inside.join(above, [key, "_group"]).select(
+        key, "_block", "count", (F.col("_before") + F.col("_above")).alias("_before")
+    )
+
+
+def number_rows(
+    rows: DataFrame, key: str, order: str = "seq", block_bits: int = BLOCK_BITS, level_bits: int = LEVEL_BITS
+) -> DataFrame:
     """Exact 0-based position of each row inside its key, as column ``position``.
 
     There are only a few regions, so a window per region would be a few tasks. ``order`` is a
     unique integer, so it is cut into blocks of equal width: a (key, block) group holds at most
     one block of rows however hot the key is. Rows are numbered inside their block and moved up
-    by the count of the blocks before, which is a table of one small row per block. Blocks depend
+    by the count of the blocks before, which a prefix sum over levels of blocks gives. Blocks depend
     on values alone, so a task that runs again numbers its rows the same way. A row without a
     number has no place and is an error.
     """
     missing = F.raise_error(F.lit(f"a row has no {order}")).cast("bigint")
     blocked = rows.withColumn("_block", F.coalesce(F.shiftright(order, block_bits), missing))
-    earlier = (
-        Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = (
-        blocked.groupBy(key, "_block")
-        .count()
-        .select(key, "_block", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_before"))
-    )
+    counts = blocked.groupBy(key, "_block").count()
+    offsets = _rows_before(counts, key, 64 - block_bits, level_bits).select(key, "_block", "_before")
     inside = Window.partitionBy(key, "_block").orderBy(order)
     return (
         blocked.withColumn("_inside", F.row_number().over(inside))
