@@ -51,6 +51,35 @@ def titles(store):
     return sorted("-" if r.title is None else r.title for r in store.articles().collect())
 
 
+@pytest.mark.parametrize("rows, size", [(100_000, "10m"), (0, "-1")])
+def test_the_first_of_equal_titles_does_not_depend_on_the_size_of_the_registry(spark, tmp_path, monkeypatch, rows, size):
+    # One title stands twice in each document, others in one only; the first address is not registered.
+    story = "<item><title>{}</title><link>http://{}/{}</link></item>"
+    document = "<rss version='2.0'><channel>{}</channel></rss>"
+    feeds = [
+        (f"http://feed/{n:02}", document.format("".join(story.format(t, n, at) for at, t in enumerate([f"only {n}", "same", "same"]))))
+        for n in range(40)
+    ]
+    documents = spark.createDataFrame(feeds, "url string, document string").withColumn("damaged", F.lit(False)).repartition(7)
+    registered = F.format_string("http://feed/%02d", "id").alias("url")
+    registry = spark.range(1, 40).select(registered, F.lit("s").alias("source"), F.lit("r").alias("region"))
+    got = []
+
+    def keep(messages):
+        got.extend((r.title, r.link) for r in decode_messages(messages).collect())
+
+    monkeypatch.setattr("tickertone.plans.articles.REGISTRY_BROADCAST_ROWS", rows)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+    try:
+        articles = feed_articles(documents, registry, NOW)
+        plan = articles._jdf.queryExecution().executedPlan().toString()
+        publish_batch(articles, 0, TitleIndex(spark, str(tmp_path / "sent")), keep)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert ("SortMergeJoin" in plan) == (rows == 0)
+    assert sorted(got) == sorted([("same", "http://1/1"), *[(f"only {n}", f"http://{n}/0") for n in range(1, 40)]])
+
+
 def test_dedup_across_batches_and_restarts(spark, tmp_path):
     store = ScoredStore(spark, str(tmp_path / "store"))
     publish(spark, tmp_path / "topic", [article("a", "first"), article("a", "second"), article(None), article("")], [article("a"), article("b"), article(None)])

@@ -7,7 +7,7 @@ wide article rows move once.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 TITLE_KEY = ["_title", "_untitled"]
 
@@ -22,7 +22,7 @@ def title_keys(df: DataFrame) -> DataFrame:
     return with_title_key(df.select("title")).select(*TITLE_KEY).distinct()
 
 
-def keyed_first(articles: DataFrame, order: str = "seq") -> DataFrame:
+def keyed_first(articles: DataFrame, order: str | Column = "seq") -> DataFrame:
     """First row per title in arrival order, with its key columns.
 
     ``row_number() = 1`` becomes a group limit on both sides of the shuffle, so each map task

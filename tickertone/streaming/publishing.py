@@ -15,10 +15,15 @@ from tickertone.sources.titles import TitleIndex
 from tickertone.sources.topic import encode_messages
 from tickertone.streaming.arrival import with_arrival
 
+PLACE = ("url", "entry_no")
+
 
 def feed_articles(documents: DataFrame, registry: DataFrame, as_of: datetime | None = None) -> DataFrame:
-    """Article records of feed documents; works on a batch and on a stream."""
-    return build_articles(tag_entries(keep_usable(read_entries(documents)), registry), as_of)
+    """Article records of feed documents; works on a batch and on a stream.
+
+    They keep ``url`` and ``entry_no``, their place, by which the first of equal titles is told.
+    """
+    return build_articles(tag_entries(keep_usable(read_entries(documents)), registry), as_of, keep=PLACE)
 
 
 def publish_batch(
@@ -26,17 +31,23 @@ def publish_batch(
 ) -> None:
     """Send the first article of each title not sent before.
 
+    Articles that keep the place of their entry are in order of address and place, so neither the join
+    with the registry nor the number of tasks changes which one is the first; equal places, of two
+    versions of a document in one batch, are told apart by their values. Others are in order of arrival.
     Copies fold before the shuffle, so a title that fills a third of a batch is one row per task.
     Titles count as sent once ``write`` has returned; a batch that failed is sent again.
     """
     given = batch.persist()
     fresh = None
     try:
-        articles = with_arrival(given, batch_id)
+        if set(PLACE) <= set(given.columns):
+            articles, order = given, F.struct(*PLACE, "published_at", "link", "text")
+        else:
+            articles, order = with_arrival(given, batch_id), F.col("seq")
         known = sent.find(articles)
         if known is None:
             return
-        fresh = keyed_first(articles).join(known, TITLE_KEY, "left_anti").drop(*TITLE_KEY).persist()
+        fresh = keyed_first(articles, order).join(known, TITLE_KEY, "left_anti").drop(*TITLE_KEY).persist()
         if fresh.isEmpty():
             return
         write(encode_messages(fresh))
