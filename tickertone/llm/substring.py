@@ -201,8 +201,9 @@ def repeated_windows(
     keyed = _keyed(docs, id_column, text)
     seed = min(seed, window)
     found = _segments(keyed, window, seed)
-    # Count first: only segments whose minimiser stands twice move on.
-    shared = found.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
+    # Count first: only segments whose minimiser stands twice move on. Counts are written, since a hot key is
+    # split only in a join whose sides come as they are, not aggregated in the same stage.
+    shared = written(found.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name"), small=True)
     found = written(found.join(shared, "name"))
     distinct = found.groupBy("name", "words").agg(F.count("*").alias("weight"), F.min(F.struct("k1", "k2", "place")).alias("source"))
     distinct = written(distinct)
@@ -223,7 +224,7 @@ def repeated_windows(
     marks = written(_marked(_texts(sources, window, shards), window).groupBy("name", "words", "hot").agg(F.bit_or("marks").alias("marks")))
     if spread:
         back = cut.join(marks.where("hot").select("name", F.col("words").alias("one")), ["name", "one"])
-        back = back.groupBy("name", "words").agg(F.bit_or(F.expr("shiftleft(1L, offset)")).alias("marks"))
+        back = written(back.groupBy("name", "words").agg(F.bit_or(F.expr("shiftleft(1L, offset)")).alias("marks")), small=True)
         marks = marks.where(~F.col("hot")).select("name", "words", "marks").unionByName(back)
     return found.join(marks.select("name", "words", "marks"), ["name", "words"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("place", "marks")).alias("spots"))
 
