@@ -19,16 +19,17 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """node and root, the smallest node that it is linked with, for each node of edges (u, v).
 
     Each round links a node's larger neighbours, then its smaller ones, to the least of them; a
-    round touches each edge a few times, and rounds grow as the logarithm of the longest chain.
+    round touches each edge a few times, and rounds grow as the logarithm of the longest chain. The
+    least ones are written before they are joined back, so Spark splits the node of a very large star.
     Stops with an error if max_rounds do not suffice. Edges from a node to itself are ignored.
     """
     edges = written(edges.select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).where("u <> v").distinct())
     before = None
     for _ in range(max_rounds):
         both = _mirrored(edges)
-        large = both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).where("u <> v").distinct()
+        large = both.join(written(_least(both), small=True), "u").where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).where("u <> v").distinct()
         large = written(large)
-        least = large.groupBy("u").agg(F.min("v").alias("least"))
+        least = written(large.groupBy("u").agg(F.min("v").alias("least")), small=True)
         tied = large.join(least, "u").where("v <> least").select(F.col("v").alias("u"), F.col("least").alias("v"))
         edges = written(tied.unionByName(least.select("u", F.col("least").alias("v"))).where("u <> v").distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

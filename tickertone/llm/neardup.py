@@ -216,11 +216,12 @@ def _grouped(docs: DataFrame, id_column: str, text: str, threshold: Fraction, re
     classes = written(full.groupBy("name").agg(F.count("*").alias("copies"), F.min(first).alias("first"), F.max("grams").alias("grams")))
 
     met = full.select("name", F.explode("bands").alias("band")).distinct()
-    buckets = met.groupBy("band").agg(F.count("*").alias("n"), F.min(F.xxhash64("name")).alias("label")).where("n > 1").drop("n")
+    # A hot band is split only in a join whose sides come as they are, not aggregated in the same stage.
+    buckets = written(met.groupBy("band").agg(F.count("*").alias("n"), F.min(F.xxhash64("name")).alias("label")).where("n > 1").drop("n"), small=True)
     met = written(met.join(buckets, "band"))
     # Buckets that share a class take the least of their labels, so most pairs meet under one label only.
     near = met.groupBy("name").agg(F.min("label").alias("near"))
-    relabelled = met.select("name", "band").join(near, "name").groupBy("band").agg(F.min("near").alias("label"))
+    relabelled = written(met.select("name", "band").join(near, "name").groupBy("band").agg(F.min("near").alias("label")), small=True)
     own = met.select("name", "band").join(relabelled, "band").groupBy("name").agg(F.collect_set("label").alias("labels"))  # one for each band at most
     labels = written(own.join(classes, "name").withColumn("label", F.explode("labels")))
     sizes = labels.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / block_classes), F.ceil(F.sum("grams") / block_grams)).cast("int").alias("blocks"))
