@@ -53,3 +53,21 @@ def test_pipeline(spark):
         ids, decoded = encode_texts([kept["mixing"].pop(row.doc_id)], vocabulary)
         assert (list(row.ids), row.decoded) == (ids[0].tolist(), decoded[0])
     assert not kept["mixing"]
+
+
+@pytest.mark.parametrize("rows", ["none", "odd"])
+def test_stages_take_nulls_repeated_rows_and_empty_tables(spark, rows):
+    given = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    docs = given.limit(0)
+    if rows == "odd":
+        text = "Ten plain words of prose stand here in number {} and no other text has all of them in this very order."
+        odd = [(1, text.format("one")), (1, text.format("one")), (2, text.format("one")), (3, None), (4, ""), (5, " \n\t"), (None, text.format("six of nothing"))]
+        odd = [(i, t, None if i == 2 else "en", None if i == 1 else "web", None if t is None else len(t)) for i, t in odd]
+        docs = spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long").to(given.schema)
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, stage(spark, docs, SF_DIR).checkpoint()
+        assert docs.count() <= before.count()
+        if name == "near duplicates":
+            # Texts without words and copies are gone; the id 1 stands for its copies, and a null id stays.
+            assert sorted(str(r.doc_id) for r in docs.collect()) == ([] if rows == "none" else ["1", "None"])
+    assert {"ids", "decoded"} <= set(docs.columns)
