@@ -291,5 +291,9 @@ def with_sampling(docs: DataFrame, targets: Targets | None = None, seed: int = 0
 
 @sets_aside(r"__.*|factor|n_tokens|weight|probability|sampled")
 def mixed_sample(docs: DataFrame, targets: Targets | None = None, seed: int = 0, id_column: str = "doc_id") -> DataFrame:
-    """The sampled rows of docs, with their own columns."""
+    """The sampled rows of docs, with their own columns.
+
+    Repeated rows stay or go together; nulls and documents without words are as in with_sampling;
+    an empty table gives an empty one.
+    """
     return with_sampling(docs, targets, seed, id_column).where("sampled").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -215,7 +215,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", lan
     """The rows of docs that the rules keep, with their own columns.
 
     Only labelled rows are measured for the cutoffs; then every row is measured where it stands, so
-    whole texts are not shuffled.
+    whole texts are not shuffled. Null and empty texts have too few words and go; a null lang counts
+    as an empty one; repeated rows have the same verdict; an empty table gives an empty one.
     """
     holdout = labelled(docs.select(F.col(f"`{id_column}`"), F.col(f"`{lang}`"), "text"), labels, id_column, label).withColumn("stratum", _stratum(lang))
     cutoffs = written(certified_cutoffs(with_measures(holdout.select("stratum", "good", "text"))), small=True)
