@@ -48,3 +48,13 @@ def use_utc(spark: SparkSession) -> SparkSession:
     """Put a session made elsewhere on UTC, the only setting that changes results."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
+
+
+def use_placement(spark: SparkSession) -> SparkSession:
+    """Let a join on several columns use rows that lie by one of them.
+
+    What is sent ``near`` wide rows finds them only so; otherwise the join spreads both sides anew by all
+    its columns, with the same result.
+    """
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    return spark

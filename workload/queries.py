@@ -31,12 +31,13 @@ from tickertone.plans.report import batch_report
 from tickertone.plans.requests import build_requests
 from tickertone.plans.scoring import merge_scores, no_scores, score_articles, score_new_articles
 from tickertone.schemas import EXCERPT_CHARS, FALLBACK_MODEL, PRIMARY_MODEL
+from tickertone.session import use_placement
 from tickertone.sources import feeds
 from tickertone.sources.registry import count_by_region, default_registry
 from tickertone.sources.kept import KeptCounts, KeptNewest
 from tickertone.sources.store import ScoredStore
 from tickertone.sources.titles import TitleIndex
-from tickertone.sources.topic import decode_messages, encode_messages, read_topic_files
+from tickertone.sources.topic import decode_messages, encode_messages, read_topic_files, write_topic_files
 from tickertone.streaming.live import bucket_counts, read_bucket_counts, start_bucket_counts
 from tickertone.streaming.publishing import unsent
 from tickertone.streaming.scoring import start_scoring
@@ -76,6 +77,14 @@ def _both(sample: Callable[[str], DataFrame]) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+# The articles are spread by the key of the join that makes them.
+PLACE = "d_id"
+
+
+def _placed_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.articles(use_placement(spark), sf_dir, keep=(PLACE,))
+
+
 # --- sources -----------------------------------------------------------------------------------
 
 
@@ -365,13 +374,19 @@ def run_folder(spark: SparkSession) -> str:
 @query
 def stream_scored_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The store after the stream took in the arriving articles on top of the stored ones."""
-    clock, rows, run = tables.as_of(spark, sf_dir), tables.articles(spark, sf_dir), run_folder(spark)
+    clock, rows, run = tables.as_of(spark, sf_dir), _placed_articles(spark, sf_dir), run_folder(spark)
     store = ScoredStore(spark, f"{run}/store")
-    stored = first_per_title(tables.stored_articles(rows, clock))
-    store.take_in(score_articles(stored, fixture_scorer), "stored")
-    encode_messages(tables.arriving_articles(rows, clock)).write.text(f"{run}/topic")
+    # The tables beside the store are made from them one by one.
+    stored = first_per_title(tables.stored_articles(rows, clock), near=PLACE).drop(PLACE).persist()
+    scored = score_articles(stored, fixture_scorer).persist()
+    try:
+        store.take_in(scored, "stored")
+    finally:
+        scored.unpersist()
+        stored.unpersist()
+    write_topic_files(encode_messages(tables.arriving_articles(rows, clock)), f"{run}/topic", packed=True)
     stream = start_scoring(
-        read_topic_files(spark, f"{run}/topic", max_files=4), store, fixture_scorer, f"{run}/checkpoint",
+        read_topic_files(spark, f"{run}/topic", max_files=4, packed=True), store, fixture_scorer, f"{run}/checkpoint",
         trigger={"availableNow": True},
     )
     stream.awaitTermination()

@@ -39,7 +39,8 @@ def as_of(spark: SparkSession, sf_dir: str) -> datetime:
     return last.astimezone(timezone.utc) + timedelta(minutes=5)
 
 
-def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+def articles(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``keep=("d_id",)`` leaves the column that the rows are spread by."""
     documents = table(spark, sf_dir, "documents")
     total = documents.count()
     # Cut the text before the join, so only the columns a query uses are shuffled.
@@ -58,6 +59,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").withColumn("d_id", F.col("event_id") % total)
     seq, kind, at = F.col("event_id"), F.col("event_type"), F.col("ts").cast("timestamp")
     return events.join(docs, "d_id").select(
+        *keep,
         seq.alias("seq"),
         F.when(seq % 97 == 0, F.lit(None))
         .when(F.col("value") < 1, " ")
