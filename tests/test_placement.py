@@ -45,6 +45,12 @@ def above_the_text(df):
     return found[::-1]
 
 
+@pytest.mark.parametrize("name", ["scored_articles"])
+def test_scores_go_to_the_articles(spark, placed, name):
+    path = above_the_text(queries.registered()[name](spark, SF_DIR))
+    assert sum("Exchange" in step for step in path) == 1 and any("LeftOuter" in step for step in path)
+
+
 def articles(spark, rows):
     return spark.createDataFrame(rows, ARTICLE).repartition("place")
 
@@ -66,6 +72,25 @@ def test_first_rows_are_the_same_wherever_they_lie(spark, placed):
     assert {r.title for r in new_articles(rows, stored, near="place").collect()} == {"", "b", "c", " d ", "e"}
 
 
+def test_scores_are_the_same_wherever_the_rows_lie(spark, placed, tmp_path):
+    rows = articles(spark, [row for row in ROWS if row[0]])
+    plain = sorted(score_articles(rows.where("seq NOT IN (2, 8)"), scorer).collect(), key=str)
+    assert sorted(score_articles(rows.where("seq NOT IN (2, 8)"), scorer, near="place").collect(), key=str) == plain
+    ledger = ResponseLedger(spark, str(tmp_path / "paid"))
+    kept = score_articles(rows.where("seq NOT IN (2, 8)"), scorer, near="place", ledger=ledger, batch="b")
+    assert sorted(kept.collect(), key=str) == plain
+    # A number that comes twice meets its scores as often as before.
+    assert sorted(score_articles(rows, scorer, near="place").collect(), key=str) == sorted(score_articles(rows, scorer).collect(), key=str)
+
+
+def test_a_row_that_lies_nowhere_is_an_error(spark, placed):
+    rows = articles(spark, [(1, "a", "", None, None), (2, "b", "", None, "x")])
+    with pytest.raises(Exception, match="a row has no place"):
+        first_per_title(rows, near="place").collect()
+    with pytest.raises(Exception, match="a row has no place"):
+        score_articles(rows, scorer, near="place").collect()
+
+
 def size(folder):
     return sum(os.path.getsize(os.path.join(at, name)) for at, _, names in os.walk(folder) for name in names)
 

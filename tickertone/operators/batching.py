@@ -85,12 +85,13 @@ def assign_batches(
     )
 
 
-def form_requests(assigned: DataFrame, key: str = "seq") -> DataFrame:
+def form_requests(assigned: DataFrame, key: str = "seq", near: str | None = None) -> DataFrame:
     """One row per request: region, batch number, keys and headlines of its articles in order.
 
-    A group never holds more than one request, so no list can grow.
+    A group never holds more than one request, so no list can grow. ``near`` is listed as the key is.
     """
-    items = F.sort_array(F.collect_list(F.struct("item_id", F.col(key).alias("key"), "headline")))
+    extra = [near] if near else []
+    items = F.sort_array(F.collect_list(F.struct("item_id", F.col(key).alias("key"), "headline", *extra)))
     return (
         assigned.groupBy("region_key", "batch_no")
         .agg(items.alias("items"))
@@ -99,5 +100,6 @@ def form_requests(assigned: DataFrame, key: str = "seq") -> DataFrame:
             "batch_no",
             F.col("items.key").alias(f"{key}s"),
             F.col("items.headline").alias("headlines"),
+            *[F.col(f"items.{name}").alias(f"{name}s") for name in extra],
         )
     )

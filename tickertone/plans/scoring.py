@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tickertone.functions.sentiment import headline, language
 from tickertone.operators.batching import BLOCK_BITS, assign_batches, form_requests, pending_headlines
-from tickertone.operators.dedup import TITLE_KEY, keyed_new, with_title_key
+from tickertone.operators.dedup import TITLE_KEY, keyed_new, sent_near, with_title_key
 from tickertone.plans.requests import build_requests
 from tickertone.plans.scorers import Providers, Scorer, ask_providers
 from tickertone.schemas import HEADLINES_PER_REQUEST, NO_HEADLINE_MODEL, UNSCORED
@@ -31,15 +32,20 @@ def run_scorer(
     ledger: ResponseLedger | None = None,
     batch: str = "",
     tasks: int = 1,
+    near: str | None = None,
 ) -> DataFrame:
     """Call the scorer once per request row; one output row per headline.
 
     Only headlines, their keys and the region cross to Python, one Arrow batch at a time;
     ``Providers`` get the request bodies as well. With a ledger, requests that an earlier try of
-    ``batch`` has paid for are not asked again, and ``tasks`` may run at once.
+    ``batch`` has paid for are not asked again, and ``tasks`` may run at once. ``near`` comes back
+    beside the key.
     """
     layout, arrow_layout = _layout(key)
-    keys = f"{key}s"
+    keys, nears = f"{key}s", [f"{near}s"] if near else []
+    if near:
+        kind = requests.schema[f"{near}s"].dataType.elementType
+        layout, arrow_layout = f"{layout}, {near} {kind.simpleString()}", arrow_layout.append(pa.field(near, to_arrow_type(kind)))
     content = ["region_key", "headlines"]
     if isinstance(scorer, Providers):
         requests = build_requests(requests)
@@ -57,22 +63,28 @@ def run_scorer(
         return found
 
     if ledger:
-        answered = ledger.ask(requests.select(keys, *content), ask, content, batch, tasks)
-        each = answered.select(F.explode(F.arrays_zip(F.col(keys).alias("key"), F.col("results").alias("result"))).alias("e"))
-        return each.select(F.col("e.key").alias(key), "e.result.score", "e.result.label", "e.result.model")
+        answered = ledger.ask(requests.select(keys, *nears, *content), ask, content, batch, tasks)
+        lists = [F.col(keys).alias("key"), F.col("results").alias("result"), *[F.col(name).alias("near") for name in nears]]
+        each = answered.select(F.explode(F.arrays_zip(*lists)).alias("e"))
+        beside = [F.col("e.near").alias(near)] if near else []
+        return each.select(F.col("e.key").alias(key), "e.result.score", "e.result.label", "e.result.model", *beside)
 
     def score_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[dict] = []
             for request in batch.to_pylist():
                 found = ask(request)
-                rows += [
+                answers = [
                     {key: k, "score": r["score"], "label": r["sentiment"], "model": r["sentiment_model"]}
                     for k, r in zip(request[keys], found)
                 ]
+                for name in nears:
+                    for answer, place in zip(answers, request[name]):
+                        answer[near] = place
+                rows += answers
             yield pa.RecordBatch.from_pylist(rows, schema=arrow_layout)
 
-    return requests.select(keys, *content).mapInArrow(score_batches, layout)
+    return requests.select(keys, *nears, *content).mapInArrow(score_batches, layout)
 
 
 def score_requests(
@@ -84,18 +96,19 @@ def score_requests(
     block_bits: int = BLOCK_BITS,
     ledger: ResponseLedger | None = None,
     batch: str = "",
+    near: str | None = None,
 ) -> DataFrame:
     """Scores by article key. ``tasks`` sets how many requests may run at once.
 
     Without it there are as many tasks as the session has shuffle partitions. The number is stated,
     because requests are small and adaptive planning would fold all of them into one task.
     """
-    keep = () if key == "seq" else (key,)
+    keep = (*([key] if key != "seq" else []), *([near] if near else []))
     assigned = assign_batches(pending_headlines(articles, keep=keep), size=size, block_bits=block_bits)
     tasks = tasks or int(articles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # The grouping below reuses this partitioning, and AQE leaves its number of tasks alone.
     assigned = assigned.repartition(tasks, "region_key", "batch_no")
-    return run_scorer(form_requests(assigned, key), scorer, key, ledger, batch, tasks)
+    return run_scorer(form_requests(assigned, key, near), scorer, key, ledger, batch, tasks, near)
 
 
 def no_scores(spark: SparkSession) -> DataFrame:
@@ -121,13 +134,15 @@ def merge_scores(articles: DataFrame, scores: DataFrame, on: str | list[str] = "
     )
 
 
-def score_articles(articles: DataFrame, scorer: Scorer | Providers, **options) -> DataFrame:
+def score_articles(articles: DataFrame, scorer: Scorer | Providers, near: str | None = None, **options) -> DataFrame:
     """Score titled articles in regional requests; every input row comes back once.
 
     Batching works on narrow rows (number, region, headline). The wide rows move once, for the
-    join back, and not at all when the scores are small enough to broadcast.
+    join back, and not at all when the scores are small enough to broadcast or ``near`` names a
+    column that the articles are spread by already: then the scores go to them.
     """
-    return merge_scores(articles, score_requests(articles, scorer, **options))
+    scores = score_requests(articles, scorer, near=near, **options)
+    return merge_scores(articles, sent_near(scores, near), ["seq", near]) if near else merge_scores(articles, scores)
 
 
 def score_new_articles(articles: DataFrame, stored: DataFrame, scorer: Scorer | Providers, **options) -> DataFrame:

@@ -229,7 +229,7 @@ def unscored_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def scored_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_articles(tables.articles(spark, sf_dir), fixture_scorer)
+    return score_articles(_placed_articles(spark, sf_dir), fixture_scorer, near=PLACE).drop(PLACE)
 
 
 @query
