@@ -45,7 +45,7 @@ def above_the_text(df):
     return found[::-1]
 
 
-@pytest.mark.parametrize("name", ["scored_articles"])
+@pytest.mark.parametrize("name", ["scored_articles", "batch_score_report"])
 def test_scores_go_to_the_articles(spark, placed, name):
     path = above_the_text(queries.registered()[name](spark, SF_DIR))
     assert sum("Exchange" in step for step in path) == 1 and any("LeftOuter" in step for step in path)

@@ -129,7 +129,7 @@ def article_json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def batch_score_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return batch_report(tables.articles(spark, sf_dir), fixture_scorer)
+    return batch_report(_placed_articles(spark, sf_dir), fixture_scorer, near=PLACE)
 
 
 # --- records -----------------------------------------------------------------------------------
