@@ -115,6 +115,12 @@ def run_in(monkeypatch, tmp_path):
     return tmp_path
 
 
+def test_titles_come_from_packed_messages(spark, run_in):
+    queries.registered()["stream_title_dedup"](spark, SF_DIR)
+    files = [name for name in os.listdir(run_in / "run" / "topic") if name.startswith("part-")]
+    assert files and all(name.endswith(".zstd.parquet") or name.endswith(".zst.parquet") for name in files)
+
+
 def test_stored_articles_are_scored_once(spark, run_in, monkeypatch):
     log = str(run_in / "asked")
 

@@ -398,8 +398,8 @@ def stream_scored_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_title_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles a publishing stream lets through, each once."""
     run = run_folder(spark)
-    encode_messages(tables.articles(spark, sf_dir)).write.text(f"{run}/topic")
-    titles = unsent(decode_messages(read_topic_files(spark, f"{run}/topic")).select("title"), spread=8)
+    write_topic_files(encode_messages(tables.articles(spark, sf_dir)), f"{run}/topic", packed=True)
+    titles = unsent(decode_messages(read_topic_files(spark, f"{run}/topic", packed=True)).select("title"), spread=8)
     _drain(titles, run)
     return spark.read.schema("title string").parquet(f"{run}/out")
 
