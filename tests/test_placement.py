@@ -51,6 +51,15 @@ def test_scores_go_to_the_articles(spark, placed, name):
     assert sum("Exchange" in step for step in path) == 1 and any("LeftOuter" in step for step in path)
 
 
+@pytest.mark.parametrize("name", ["new_articles"])
+def test_only_first_articles_are_sorted(spark, placed, name):
+    path = above_the_text(queries.registered()[name](spark, SF_DIR))
+    semi = next(i for i, step in enumerate(path) if "LeftSemi" in step)
+    assert "WindowGroupLimit" in "".join(path[:semi]) and "WindowGroupLimit" not in "".join(path[semi:])
+    # Below it the rows are spread and sorted for the join that makes them, and not again.
+    assert [sum(kind in step for step in path[semi:]) for kind in ("Exchange", "Sort [")] == [1, 1]
+
+
 def articles(spark, rows):
     return spark.createDataFrame(rows, ARTICLE).repartition("place")
 

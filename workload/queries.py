@@ -196,8 +196,8 @@ def first_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def new_articles_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clock, rows = tables.as_of(spark, sf_dir), tables.articles(spark, sf_dir)
-    return new_articles(tables.arriving_articles(rows, clock), tables.stored_articles(rows, clock))
+    clock, rows = tables.as_of(spark, sf_dir), _placed_articles(spark, sf_dir)
+    return new_articles(tables.arriving_articles(rows, clock), tables.stored_articles(rows, clock), near=PLACE).drop(PLACE)
 
 
 # --- scoring -----------------------------------------------------------------------------------
