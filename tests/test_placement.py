@@ -51,7 +51,7 @@ def test_scores_go_to_the_articles(spark, placed, name):
     assert sum("Exchange" in step for step in path) == 1 and any("LeftOuter" in step for step in path)
 
 
-@pytest.mark.parametrize("name", ["new_articles"])
+@pytest.mark.parametrize("name", ["first_occurrence", "new_articles"])
 def test_only_first_articles_are_sorted(spark, placed, name):
     path = above_the_text(queries.registered()[name](spark, SF_DIR))
     semi = next(i for i, step in enumerate(path) if "LeftSemi" in step)

@@ -191,7 +191,7 @@ def script_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def first_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return first_per_title(tables.articles(spark, sf_dir))
+    return first_per_title(_placed_articles(spark, sf_dir), near=PLACE).drop(PLACE)
 
 
 @query
