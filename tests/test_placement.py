@@ -60,6 +60,12 @@ def test_only_first_articles_are_sorted(spark, placed, name):
     assert [sum(kind in step for step in path[semi:]) for kind in ("Exchange", "Sort [")] == [1, 1]
 
 
+def test_no_task_sorts_titles_to_find_first_articles(spark, placed):
+    plan = queries.registered()["first_occurrence"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    narrow = plan[plan.index("REPARTITION_BY_COL", plan.index("LeftSemi") + 1) :]
+    assert "WindowGroupLimit" not in narrow and "SortAggregate" not in narrow and narrow.count("HashAggregate") == 2
+
+
 def articles(spark, rows):
     return spark.createDataFrame(rows, ARTICLE).repartition("place")
 

@@ -39,10 +39,16 @@ def sent_near(narrow: DataFrame, near: str) -> DataFrame:
 def _of_first_rows(articles: DataFrame, order: str, near: str) -> DataFrame:
     """The articles that have the place of a first one: those, and what ties with them.
 
-    First ones are told from title, order and ``near``, so the sort of a map task holds no wide row.
+    First ones are told from title, order and ``near`` by an aggregation that keeps a row per title, so no
+    map task sorts its rows for it. A row without a number is the first, as in a window.
     """
-    first = keyed_first(articles.select("title", order, near), order).select(F.col(order).alias("_first"), near)
-    there = sent_near(first, near).withColumnRenamed(near, "_near")
+    number, place = F.col(order), F.col(near)
+    unnumbered = F.max(number.isNull())
+    first = with_title_key(articles.select("title", order, near)).groupBy(*TITLE_KEY).agg(
+        F.when(~unnumbered, F.min(number)).alias("_first"),
+        F.when(unnumbered, F.max(F.when(number.isNull(), place))).otherwise(F.min_by(place, number)).alias(near),
+    )
+    there = sent_near(first.select("_first", near), near).withColumnRenamed(near, "_near")
     same = (F.col(near) == F.col("_near")) & F.col(order).eqNullSafe(F.col("_first"))
     return articles.join(there, same, "left_semi")
 
